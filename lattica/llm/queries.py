@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import mixing, sharding, urls
+from lattica.llm import html_text, mixing, nn_descent, packing, sharding, simhash, suffix, syncmers, toxicity, urls
 from lattica.llm.common import table
 
 
@@ -15,12 +15,49 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     first = plan.withColumn("first_position", F.get("takes", F.lit(0))["position"])
     return mixing.in_training_order(first, "first_position").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op7_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, n_html (characters), text: the visible text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html_text.extract_text(pages).select("page_id", F.length("html").cast("long").alias("n_html"), "text")
+
+
+def op8_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer_path())
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, urls.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -30,7 +67,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_feistel_sharding,
+        op2_syncmer_fingerprints,
+        op3_nn_descent,
+        op4_suffix_array_dedup,
         op5_curriculum_mix,
+        op6_toxicity_neighbours,
+        op7_html_layout_text,
+        op8_simhash_trie_join,
+        op9_best_fit_packing,
         op10_url_rules,
     )
 }
