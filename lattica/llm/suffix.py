@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpoint, partitions
+from lattica.llm.common import checkpoint
 
 WINDOW, KMER = 200, 32
 #: Occurrences of a minimizer beyond which its strings are dealt out one by one.
-HOT = 8000
-#: Bytes of text for one suffix array; a minimizer's stretches are never divided.
-SHARD_BYTES = 3_000_000
+HOT = 24_000
+#: Bytes of text for one suffix array (small enough for the processor's cache); a minimizer's stretches are never divided.
+SHARD_BYTES = 300_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -283,10 +283,14 @@ def minimizer_runs(data: bytes, window: int = WINDOW, part: int = 1 << 20) -> tu
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _keys() -> tuple:
+    """id (doc_id, null as the least long) and th (a hash of the text): together they name a row up to copies of its text."""
+    return F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text: with doc_id it names a row up to exact copies) and text (null: empty)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+    """id, th, doc_id and text (null: empty)."""
+    return docs.select(*_keys(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
@@ -295,16 +299,16 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh64_intdigest
         for frame in batches:
-            ids = frame["doc_id"].astype("Int64")
+            ids = frame["id"].to_numpy()
             row, ms, ss, starts, counts = [], [], [], [], []
             held = 0
 
             def flush() -> pd.DataFrame:
                 at = np.repeat([r for r, _ in row], [n for _, n in row])
                 return pd.DataFrame({
-                    "doc_id": ids.iloc[at].to_numpy(), "th": frame["th"].to_numpy()[at], "m": np.concatenate(ms).view(np.int64), "s": np.array(ss, np.uint64).view(np.int64),
-                    "start": np.concatenate(starts), "n": np.concatenate(counts).astype(np.int32),
-                }).astype({"doc_id": "Int64"})
+                    "id": ids[at], "th": frame["th"].to_numpy()[at], "m": np.concatenate(ms).view(np.int64), "s": np.array(ss, np.uint64).view(np.int64),
+                    "start": np.concatenate(starts).astype(np.int32), "n": np.concatenate(counts).astype(np.int32),
+                })
 
             for k, text in enumerate(frame["text"]):
                 data = text.encode()
@@ -324,7 +328,7 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
             if row:
                 yield flush()
 
-    return keyed.mapInPandas(scan, "doc_id long, th long, m long, s long, start long, n int")
+    return keyed.select("id", "th", "text").mapInPandas(scan, "id long, th long, m long, s long, start int, n int")
 
 
 def _stretches(with_text: DataFrame, window: int) -> DataFrame:
@@ -348,53 +352,53 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _by_suffix_array(stretches: DataFrame, window: int, shard_bytes: int) -> DataFrame:
-    """(m, s, from, to): starts within a stretch whose window is repeated. A shard holds whole minimizers."""
+def _judge(stretches: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    """(m, s, from, to, copies, d): starts within a stretch whose window is repeated, where d is null.
+
+    A shard holds whole minimizers and gets a suffix array. Stretches of a
+    minimizer with very many different ones are dealt apart instead, and each of
+    their windows comes back with its 128-bit digest d, to be counted.
+    """
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        size = 0
+        size, last = 0, None
+        columns = ["m", "s", "from", "to", "copies", "d"]
 
-        def close() -> pd.DataFrame | None:
+        def close() -> list[tuple]:
             rows = []
             for (m, s, copies, _), flags in zip(held, repeated_starts([x[3] for x in held], window), strict=True):
                 if copies > 1:
                     flags = np.ones(len(flags), bool)
-                rows += [(m, s, a, b) for a, b in _spans(flags)]
-            return pd.DataFrame(rows, columns=["m", "s", "from", "to"]) if rows else None
+                rows += [(m, s, a, b, copies, None) for a, b in _spans(flags)]
+            return rows
 
+        out: list[tuple] = []
         for frame in batches:
-            for m, s, copies, data in zip(frame["m"], frame["s"], frame["copies"], frame["bytes"], strict=True):
-                if held and held[-1][0] == m and held[-1][1] == s:
+            for m, s, copies, hot, data in zip(frame["m"], frame["s"], frame["copies"], frame["hot"], frame["bytes"], strict=True):
+                if last == (m, s):
                     continue  # one stretch, fetched from a repeated row as well
-                if size >= shard_bytes and held[-1][0] != m:
-                    if (done := close()) is not None:
-                        yield done
-                    held, size = [], 0
-                held.append((m, s, copies, bytes(data)))
-                size += len(data)
-        if held and (done := close()) is not None:
-            yield done
-
-    dealt = stretches.filter("not hot").repartition("m").sortWithinPartitions("m", "s")
-    return dealt.mapInPandas(shard, "m long, s long, from int, to int")
-
-
-def _one_by_one(stretches: DataFrame, window: int) -> DataFrame:
-    """The same for minimizers with very many different stretches: each window is a row, counted by a 128-bit digest."""
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for m, s, copies, data in zip(frame["m"], frame["s"], frame["copies"], frame["bytes"], strict=True):
                 data = bytes(data)
-                n = len(data) - window + 1
-                digests = [xxhash.xxh3_128_digest(data[i : i + window]) for i in range(n)]
-                yield pd.DataFrame({"m": m, "s": s, "copies": copies, "at": np.arange(n, dtype=np.int32), "d": digests})
-
-    each = stretches.filter("hot").dropDuplicates(["m", "s"]).mapInPandas(windows, "m long, s long, copies long, at int, d binary")
-    often = each.groupBy("d").agg(F.sum("copies").alias("c")).filter("c > 1").select(F.col("d").alias("again"))
-    hit = each.join(often, each.d == often.again)
-    return hit.select("m", "s", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
+                if hot:
+                    out += [(m, s, i, i + 1, copies, xxhash.xxh3_128_digest(data[i : i + window])) for i in range(len(data) - window + 1)]
+                else:
+                    if size >= shard_bytes and held[-1][0] != m:
+                        out += close()
+                        held, size = [], 0
+                    held.append((m, s, copies, data))
+                    size += len(data)
+                last = (m, s)
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        if held:
+            out += close()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    place = F.when(F.col("hot"), F.xxhash64("m", "s")).otherwise(F.col("m"))
+    dealt = stretches.withColumn("place", place).repartition("place").sortWithinPartitions("hot", "m", "s").drop("place")
+    return dealt.mapInPandas(shard, "m long, s long, from int, to int, copies long, d binary")
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -403,25 +407,31 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sh
     runs = _occurrences(keyed, window)
     often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("m").alias("again"), (F.col("c") > hot).alias("hot"))
     found = checkpoint(runs.join(often, runs.m == often.again).drop("again"))
-    one = F.min(F.struct("doc_id", "th", "start", "n", "hot")).alias("x")
+    one = F.min(F.struct("id", "th", "start", "n", "hot")).alias("x")
     wanted = (
         found.groupBy("m", "s").agg(F.count(F.lit(1)).alias("copies"), one)
-        .groupBy(F.col("x.doc_id").alias("w_id"), F.col("x.th").alias("w_th"))
-        .agg(F.collect_list(F.struct("m", "s", "copies", F.col("x.hot").alias("hot"), F.col("x.start").alias("start"), F.col("x.n").alias("n"))).alias("wanted"))
+        .select("m", "s", "copies", F.col("x.hot").alias("hot"), F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.col("x.id").alias("w_id"), F.col("x.th").alias("w_th"))
+        .groupBy("w_id", "w_th")
+        .agg(F.collect_list(F.struct("m", "s", "copies", "hot", "start", "n")).alias("wanted"))
     )
-    dealt = keyed.repartition(partitions(docs), "doc_id", "th")
-    texts = dealt.join(wanted, dealt.doc_id.eqNullSafe(wanted.w_id) & (dealt.th == wanted.w_th)).select("text", "wanted")
+    # both joins to the texts use one exchange: the same columns, dealt by the same keys
+    texts = keyed.join(wanted, (keyed.id == wanted.w_id) & (keyed.th == wanted.w_th)).select("doc_id", "text", "wanted")
     stretches = _stretches(texts, window)
-    hits = _by_suffix_array(stretches, window, shard_bytes)
+    hits = _judge(stretches, window, shard_bytes)
     if not found.filter("hot").isEmpty():
-        hits = hits.unionAll(_one_by_one(stretches, window))
+        hits = checkpoint(hits)
+        each = hits.filter("d is not null")
+        often = each.groupBy("d").agg(F.sum("copies").alias("c")).filter("c > 1").select(F.col("d").alias("again"))
+        counted = each.join(often, each.d == often.again).groupBy("m", "s").agg(F.collect_set("from").alias("at"))  # at most 200 each
+        hits = hits.filter("d is null").select("m", "s", "from", "to").unionAll(counted.select("m", "s", F.explode("at").alias("from")).select("m", "s", "from", (F.col("from") + 1).alias("to")))
     hits = hits.select(F.col("m").alias("h_m"), F.col("s").alias("h_s"), "from", "to")
     covered = (
         found.join(hits, (found.m == hits.h_m) & (found.s == hits.h_s))
-        .groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"))
-        .agg(F.collect_list(F.struct((F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to") + (window - 1)).alias("b"))).alias("ranges"))
+        .select(F.col("id").alias("c_id"), F.col("th").alias("c_th"), "start", "from", "to")
+        .groupBy("c_id", "c_th")
+        .agg(F.collect_list(F.struct((F.col("start") + F.col("from")).cast("long").alias("a"), (F.col("start") + F.col("to") + (window - 1)).cast("long").alias("b"))).alias("ranges"))
     )
-    return dealt, covered
+    return keyed, covered
 
 
 def merge_ranges(ranges) -> list[tuple[int, int]]:
@@ -453,8 +463,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     the window are never touched; repeated rows are each other's repeats; an
     empty table gives an empty one; further columns are left out.
     """
-    dealt, covered = repeated_intervals(docs, window, **options)
-    joined = dealt.join(covered, dealt.doc_id.eqNullSafe(covered.c_id) & (dealt.th == covered.c_th), "left").select("doc_id", "text", "ranges")
+    keyed, covered = repeated_intervals(docs, window, **options)
+    joined = keyed.join(covered, (keyed.id == covered.c_id) & (keyed.th == covered.c_th), "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -483,9 +493,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFra
     texts come back as they were. Rows meet their cut text by doc_id and a hash
     of the text; other columns never take part.
     """
-    dealt, covered = repeated_intervals(docs, window, **options)
-    rows = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(covered, rows.doc_id.eqNullSafe(covered.c_id) & (rows.th == covered.c_th), "left")
+    _, covered = repeated_intervals(docs, window, **options)
+    row_id, th = _keys()
+    rows = docs.select(*docs.columns, row_id.alias("__id"), th.alias("__th"))
+    joined = rows.join(covered, (rows["__id"] == covered.c_id) & (rows["__th"] == covered.c_th), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
