@@ -13,7 +13,10 @@ pieces and handing them their places is done on the executors.
 from __future__ import annotations
 
 import bisect
-import re
+import os
+import string
+import struct
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -26,16 +29,28 @@ from pyspark.sql import functions as F
 from lattica.llm.common import checkpoint, number_rows
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Entries of the tokenizing cache, and the longest string kept in it.
-CACHE, CACHED = 150_000, 48
-_GAPS = re.compile(r"[ \t\n\r]+")
+#: Stretches and words whose ids a worker remembers, and the longest string kept.
+STRETCHES, WORDS, LONGEST = 500_000, 800_000, 48
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level spelling: printable bytes stand for themselves, the others for characters from U+0100 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 class WordTokenizer:
     """Token ids as little-endian uint32 bytes, one white-space-free stretch at a time.
 
     The tokenizer drops white space and never joins tokens across it, so a text
-    tokenizes as its stretches do; frequent stretches are remembered.
+    tokenizes as its stretches do. It splits letters from what follows them as
+    well: a stretch of letters and closing ASCII punctuation is the word and the
+    run of punctuation. Anything else is tokenized as a whole. Ids of stretches
+    and words are remembered; a full memory is emptied, which costs time only.
     """
 
     def __init__(self, path: str):
@@ -44,27 +59,66 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.stretches: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
 
-    def _learn(self, stretches: list[str], store: dict[str, bytes]) -> None:
+    def _encode(self, stretches: list[str], store: dict[str, bytes]) -> None:
         for at in range(0, len(stretches), 20_000):
             part = stretches[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                store[word] = np.array(got.ids, dtype="<u4").tobytes()
+            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                store[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+
+    def _word(self, word: str) -> bytes:
+        """One lower-case word or run of punctuation, straight from the merges: bytes are spelled as the model's characters."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, unknown: set[str]) -> dict[str, bytes]:
+        """Ids of new stretches; those too long to keep are returned only."""
+        if len(self.words) > WORDS:
+            self.words = {"": b""}
+        words, stretches, fresh, odd = self.words, self.stretches, {}, []
+        for w in unknown:
+            body = w.rstrip(string.punctuation)
+            low = body.lower() if body.isascii() else "".join([c.lower() for c in body])
+            if len(w) <= LONGEST and low.isalpha() and body.isalpha() and (body.isascii() or unicodedata.is_normalized("NFC", body)):
+                tail = w[len(body) :]
+                for part in (low, tail):
+                    if part not in words:
+                        words[part] = self._word(part)
+                stretches[w] = words[low] + words[tail] if tail else words[low]
+            else:
+                odd.append(w)
+        self._encode([w for w in odd if len(w) <= LONGEST], stretches)
+        self._encode([w for w in odd if len(w) > LONGEST], fresh)
+        return fresh
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [_GAPS.sub(" ", t).split(" ") for t in texts]
-        unknown = set().union(*split) - self.known.keys() if split else set()
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-            unknown = set().union(*split)
-        fresh: dict[str, bytes] = {}
-        self._learn([w for w in unknown if len(w) > CACHED and w], fresh)
-        self._learn([w for w in unknown if len(w) <= CACHED and w], self.known)
-        known = self.known
-        if not fresh:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
+        if len(self.stretches) > STRETCHES:
+            self.stretches = {"": b""}
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        known = self.stretches
+        found = [list(map(known.get, words)) for words in split]
+        unknown = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
+        if unknown:
+            fresh = self._learn(unknown)
+            for words, got in zip(split, found, strict=True):
+                if None in got:
+                    got[:] = [g if g is not None else known[w] if w in known else fresh[w] for w, g in zip(words, got, strict=True)]
+        return list(map(b"".join, found))
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One per Python worker, with its memory, for all tasks the worker runs."""
+    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, batch_chars: int = 2_000_000) -> DataFrame:
@@ -75,10 +129,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     end = np.array([separator], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
         for frame in batches:
             ids, texts = frame["doc_id"].astype("Int64"), frame["text"].fillna("").tolist()
             at = 0
