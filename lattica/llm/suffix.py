@@ -7,7 +7,8 @@ text, equal stretches as one with their number. Each shard concatenates its
 stretches, sorts all suffixes by induced sorting (Nong, Zhang, Chan 2009), and
 compares each suffix with its predecessor in that order (permuted common
 prefixes). Strings that a neighbour shares for a whole window are removed from
-every document they came from. Minimizers that occur once are dropped by count
+every document they came from. The stretches of a minimizer with very many
+occurrences would fill one shard; their windows are counted by digest instead. Minimizers that occur once are dropped by count
 before any text moves.
 """
 
@@ -339,11 +340,35 @@ def _stretches(with_text: DataFrame, window: int) -> DataFrame:
             rows = []
             for text, wanted in zip(frame["text"], frame["wanted"], strict=True):
                 data = text.encode()
-                rows += [(w["m"], w["s"], w["copies"], w["hot"], data[w["start"] : w["start"] + w["n"] + window - 1]) for w in wanted]
+                rows += [(w["m"], w["s"], w["copies"], data[w["start"] : w["start"] + w["n"] + window - 1]) for w in wanted]
             if rows:
-                yield pd.DataFrame(rows, columns=["m", "s", "copies", "hot", "bytes"])
+                yield pd.DataFrame(rows, columns=["m", "s", "copies", "bytes"])
 
-    return with_text.mapInPandas(cut, "m long, s long, copies long, hot boolean, bytes binary")
+    return with_text.mapInPandas(cut, "m long, s long, copies long, bytes binary")
+
+
+def _windows(with_text: DataFrame, window: int) -> DataFrame:
+    """Every window of each wanted stretch by its 128-bit digest d, to be counted.
+
+    A stretch may come twice from a repeated row; its copies are above one then, and it is repeated anyway.
+    """
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, columns = xxhash.xxh3_128_digest, ["m", "s", "from", "copies", "d"]
+        rows: list[tuple] = []
+        for frame in batches:
+            for text, wanted in zip(frame["text"], frame["wanted"], strict=True):
+                data = text.encode()
+                for w in wanted:
+                    m, s, start, copies = w["m"], w["s"], w["start"], w["copies"]
+                    rows += [(m, s, i, copies, digest(data[start + i : start + i + window])) for i in range(w["n"])]
+                    if len(rows) > 50_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    return with_text.mapInPandas(digests, "m long, s long, from int, copies long, d binary")
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -353,40 +378,32 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _judge(stretches: DataFrame, window: int, shard_bytes: int) -> DataFrame:
-    """(m, s, from, to, copies, d): starts within a stretch whose window is repeated, where d is null.
-
-    A shard holds whole minimizers and gets a suffix array. Stretches of a
-    minimizer with very many different ones are dealt apart instead, and each of
-    their windows comes back with its 128-bit digest d, to be counted.
-    """
+    """(m, s, from, to): starts within a stretch whose window is repeated. A shard holds whole minimizers and gets a suffix array."""
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size, last = 0, None
-        columns = ["m", "s", "from", "to", "copies", "d"]
+        columns = ["m", "s", "from", "to"]
 
         def close() -> list[tuple]:
             rows = []
             for (m, s, copies, _), flags in zip(held, repeated_starts([x[3] for x in held], window), strict=True):
                 if copies > 1:
                     flags = np.ones(len(flags), bool)
-                rows += [(m, s, a, b, copies, None) for a, b in _spans(flags)]
+                rows += [(m, s, a, b) for a, b in _spans(flags)]
             return rows
 
         out: list[tuple] = []
         for frame in batches:
-            for m, s, copies, hot, data in zip(frame["m"], frame["s"], frame["copies"], frame["hot"], frame["bytes"], strict=True):
+            for m, s, copies, data in zip(frame["m"], frame["s"], frame["copies"], frame["bytes"], strict=True):
                 if last == (m, s):
                     continue  # one stretch, fetched from a repeated row as well
                 data = bytes(data)
-                if hot:
-                    out += [(m, s, i, i + 1, copies, xxhash.xxh3_128_digest(data[i : i + window])) for i in range(len(data) - window + 1)]
-                else:
-                    if size >= shard_bytes and held[-1][0] != m:
-                        out += close()
-                        held, size = [], 0
-                    held.append((m, s, copies, data))
-                    size += len(data)
+                if size >= shard_bytes and held[-1][0] != m:
+                    out += close()
+                    held, size = [], 0
+                held.append((m, s, copies, data))
+                size += len(data)
                 last = (m, s)
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=columns)
@@ -396,9 +413,14 @@ def _judge(stretches: DataFrame, window: int, shard_bytes: int) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    place = F.when(F.col("hot"), F.xxhash64("m", "s")).otherwise(F.col("m"))
-    dealt = stretches.withColumn("place", place).repartition("place").sortWithinPartitions("hot", "m", "s").drop("place")
-    return dealt.mapInPandas(shard, "m long, s long, from int, to int, copies long, d binary")
+    return stretches.repartition("m").sortWithinPartitions("m", "s").mapInPandas(shard, "m long, s long, from int, to int")
+
+
+def _counted(windows: DataFrame) -> DataFrame:
+    """(m, s, from, to): starts of windows whose digest counts more than once."""
+    often = windows.groupBy("d").agg(F.sum("copies").alias("c")).filter("c > 1").select(F.col("d").alias("again"))
+    starts = windows.join(often, windows.d == often.again).groupBy("m", "s").agg(F.collect_set("from").alias("at"))  # at most 200 each
+    return starts.select("m", "s", F.explode("at").alias("from")).select("m", "s", "from", (F.col("from") + 1).alias("to"))
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -414,16 +436,15 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sh
         .groupBy("w_id", "w_th")
         .agg(F.collect_list(F.struct("m", "s", "copies", "hot", "start", "n")).alias("wanted"))
     )
-    # both joins to the texts use one exchange: the same columns, dealt by the same keys
+    # all joins to the texts use one exchange: the same columns, dealt by the same keys, within one job
     texts = keyed.join(wanted, (keyed.id == wanted.w_id) & (keyed.th == wanted.w_th)).select("doc_id", "text", "wanted")
-    stretches = _stretches(texts, window)
-    hits = _judge(stretches, window, shard_bytes)
+
+    def some(is_hot: bool) -> DataFrame:
+        return texts.withColumn("wanted", F.filter("wanted", lambda w: w["hot"] == F.lit(is_hot))).filter("size(wanted) > 0")
+
+    hits = _judge(_stretches(some(False), window), window, shard_bytes)
     if not found.filter("hot").isEmpty():
-        hits = checkpoint(hits)
-        each = hits.filter("d is not null")
-        often = each.groupBy("d").agg(F.sum("copies").alias("c")).filter("c > 1").select(F.col("d").alias("again"))
-        counted = each.join(often, each.d == often.again).groupBy("m", "s").agg(F.collect_set("from").alias("at"))  # at most 200 each
-        hits = hits.filter("d is null").select("m", "s", "from", "to").unionAll(counted.select("m", "s", F.explode("at").alias("from")).select("m", "s", "from", (F.col("from") + 1).alias("to")))
+        hits = hits.unionAll(_counted(_windows(some(True), window)))
     hits = hits.select(F.col("m").alias("h_m"), F.col("s").alias("h_s"), "from", "to")
     covered = (
         found.join(hits, (found.m == hits.h_m) & (found.s == hits.h_s))
