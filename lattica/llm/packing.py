@@ -30,7 +30,7 @@ from lattica.llm.common import checkpoint, number_rows
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Stretches and words whose ids a worker remembers, and the longest string kept.
-STRETCHES, WORDS, LONGEST = 500_000, 800_000, 48
+STRETCHES, WORDS, LONGEST = 250_000, 400_000, 48
 
 
 def _byte_characters() -> dict[int, str]:
