@@ -16,6 +16,7 @@ import bisect
 import os
 import string
 import struct
+import threading
 import unicodedata
 import zlib
 from collections import deque
@@ -26,11 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpoint, number_rows
+from lattica.llm.common import checkpoint, number_rows, tidied, trim_memory
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Stretches and words whose ids a worker remembers, and the longest string kept.
 STRETCHES, WORDS, LONGEST = 250_000, 400_000, 48
+#: Seconds without a task after which a worker forgets them all.
+IDLE = 5.0
 
 
 def _byte_characters() -> dict[int, str]:
@@ -111,14 +114,33 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+_timer: threading.Timer | None = None
 
 
 def tokenizer_of(path: str) -> WordTokenizer:
-    """One per Python worker, with its memory, for all tasks the worker runs."""
-    if path not in _tokenizers:
+    """One per Python worker, with its memory, for all tasks the worker runs until it is idle."""
+    if _timer is not None:
+        _timer.cancel()
+    tokenizer = _tokenizers.get(path)
+    if tokenizer is None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+        tokenizer = _tokenizers[path] = WordTokenizer(path)
+    return tokenizer
+
+
+def _forget() -> None:
+    _tokenizers.clear()  # a task that has just begun holds its own reference
+    trim_memory()
+
+
+def release_when_idle() -> None:
+    """Workers outlive the stage: drop the tokenizers unless a task asks for one within ``IDLE`` seconds."""
+    global _timer
+    if _timer is not None:
+        _timer.cancel()
+    _timer = threading.Timer(IDLE, _forget)
+    _timer.daemon = True
+    _timer.start()
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, batch_chars: int = 2_000_000) -> DataFrame:
@@ -130,28 +152,31 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = tokenizer_of(tokenizer_path)
-        for frame in batches:
-            ids, texts = frame["doc_id"].astype("Int64"), frame["text"].fillna("").tolist()
-            at = 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= batch_chars):
-                    chars += len(texts[upto])
-                    upto += 1
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, encoded in enumerate(tokenizer.encode_batch(texts[at:upto])):
-                    data = encoded + end
-                    for p in range(0, len(data), 4 * capacity):
-                        part = data[p : p + 4 * capacity]
-                        row.append(at + k)
-                        piece.append(p // (4 * capacity))
-                        start.append(p // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                yield pd.DataFrame({"doc_id": ids.iloc[row].to_numpy(), "piece": np.array(piece, np.int32), "start": start, "length": length, "ids_crc32": crc}).astype({"doc_id": "Int64"})
-                at = upto
-
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        try:
+            for frame in batches:
+                ids, texts = frame["doc_id"].astype("Int64"), frame["text"].fillna("").tolist()
+                at = 0
+                while at < len(texts):
+                    upto, chars = at, 0
+                    while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= batch_chars):
+                        chars += len(texts[upto])
+                        upto += 1
+                    row, piece, start, length, crc = [], [], [], [], []
+                    for k, encoded in enumerate(tokenizer.encode_batch(texts[at:upto])):
+                        data = encoded + end
+                        for p in range(0, len(data), 4 * capacity):
+                            part = data[p : p + 4 * capacity]
+                            row.append(at + k)
+                            piece.append(p // (4 * capacity))
+                            start.append(p // 4)
+                            length.append(len(part) // 4)
+                            crc.append(zlib.crc32(part))
+                    yield pd.DataFrame({"doc_id": ids.iloc[row].to_numpy(), "piece": np.array(piece, np.int32), "start": start, "length": length, "ids_crc32": crc}).astype({"doc_id": "Int64"})
+                    at = upto
+        finally:
+            release_when_idle()
+
+    return docs.select("doc_id", "text").mapInPandas(tidied(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:

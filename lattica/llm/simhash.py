@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpoint, components, partitions
+from lattica.llm.common import checkpoint, components, partitions, tidied
 
 SHINGLE, BUDGET, SEED, BITS = 3, 2, 42, 64
 #: A node pair with at most this many fingerprint pairs below it is compared directly.
@@ -188,7 +188,7 @@ def link_fingerprints(fps: DataFrame, rows: int, budget: int = BUDGET, per_prefi
         if node is not None and (done := close(node, values, seconds)) is not None:
             yield done
 
-    return dealt.repartition(tasks, "node").sortWithinPartitions("node").mapInPandas(join, "a long, b long")
+    return dealt.repartition(tasks, "node").sortWithinPartitions("node").mapInPandas(tidied(join), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

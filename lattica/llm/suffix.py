@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpoint
+from lattica.llm.common import checkpoint, tidied
 
 WINDOW, KMER = 200, 32
 #: Occurrences of a minimizer beyond which its strings are dealt out one by one.
@@ -329,7 +329,7 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
             if row:
                 yield flush()
 
-    return keyed.select("id", "th", "text").mapInPandas(scan, "id long, th long, m long, s long, start int, n int")
+    return keyed.select("id", "th", "text").mapInPandas(tidied(scan), "id long, th long, m long, s long, start int, n int")
 
 
 def _stretches(with_text: DataFrame, window: int) -> DataFrame:
@@ -344,7 +344,7 @@ def _stretches(with_text: DataFrame, window: int) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["m", "s", "copies", "bytes"])
 
-    return with_text.mapInPandas(cut, "m long, s long, copies long, bytes binary")
+    return with_text.mapInPandas(tidied(cut), "m long, s long, copies long, bytes binary")
 
 
 def _windows(with_text: DataFrame, window: int) -> DataFrame:
@@ -368,7 +368,7 @@ def _windows(with_text: DataFrame, window: int) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    return with_text.mapInPandas(digests, "m long, s long, from int, copies long, d binary")
+    return with_text.mapInPandas(tidied(digests), "m long, s long, from int, copies long, d binary")
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -413,7 +413,7 @@ def _judge(stretches: DataFrame, window: int, shard_bytes: int) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    return stretches.repartition("m").sortWithinPartitions("m", "s").mapInPandas(shard, "m long, s long, from int, to int")
+    return stretches.repartition("m").sortWithinPartitions("m", "s").mapInPandas(tidied(shard), "m long, s long, from int, to int")
 
 
 def _counted(windows: DataFrame) -> DataFrame:
@@ -504,7 +504,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
             out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a:long,b:long>>")
+    return joined.mapInPandas(tidied(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a:long,b:long>>")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
