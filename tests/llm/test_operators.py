@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -227,6 +228,20 @@ def test_op9(docs, none):
     assert packing.pack_documents(none, word_tokenizer_path()).count() == 0
 
 
+def test_idle_workers_forget_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "IDLE", 0.05)
+    path = word_tokenizer_path()
+    before = packing.tokenizer_of(path).encode_batch([BASE])
+    packing.release_when_idle()
+    assert packing.tokenizer_of(path) is packing.tokenizer_of(path)  # asked for in time: kept
+    time.sleep(0.3)
+    assert path in packing._tokenizers
+    packing.release_when_idle()
+    time.sleep(0.5)
+    assert path not in packing._tokenizers
+    assert packing.tokenizer_of(path).encode_batch([BASE]) == before
+
+
 def test_best_fit_places_every_piece_once():
     histogram = {int(n): int(c) for n, c in zip(RNG.integers(1, 65, 40), RNG.integers(1, 30, 40), strict=True)}
     plan, opened = packing.best_fit_plan(histogram, 64)
