@@ -8,7 +8,7 @@ prefixes, the rest of each pair is traversed level by level inside a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -219,16 +219,20 @@ def deduplicate(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     Rows that repeat that doc_id are thinned to the first by (text, other columns).
     """
     marked = labelled_components(add_fingerprints(docs, ["doc_id"]), budget)
+    return keep_least(docs, marked, lambda: add_fingerprints(docs, docs.columns))
+
+
+def keep_least(docs: DataFrame, marked: DataFrame, again: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that are the least of their component in ``marked`` (doc_id, fp, component_id); ``again`` gives ``docs`` with fp."""
     dropped = marked.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(dropped, docs.doc_id.eqNullSafe(dropped["__id"]), "left_anti")
     if marked.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    return thin_repeats(docs, marked)
+    return thin_repeats(docs, marked, again())
 
 
-def thin_repeats(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The general case of deduplicate(): doc_ids repeat, so a row is known by its id and fingerprint."""
-    again = add_fingerprints(docs, docs.columns)
+def thin_repeats(docs: DataFrame, marked: DataFrame, again: DataFrame) -> DataFrame:
+    """The general case of keep_least(): doc_ids repeat, so a row is known by its id and fingerprint."""
     keys = marked.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "component_id").distinct()
     rows = again.join(keys, again.doc_id.eqNullSafe(keys["__id"]) & (again.fp == keys["__fp"]))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), *[F.col(c) for c in ["doc_id", *[c for c in docs.columns if c != "doc_id"]]])).alias("x")

@@ -1,0 +1,175 @@
+"""Near copies by exact Jaccard similarity of five-word shingles.
+
+Every pair at or above the threshold shares one of the first fifth of its
+shingles in any global order (prefix filter), so no pair is missed, which no
+SimHash bit budget could promise. Shingles that a sample finds common come last
+in that order. Candidates are confirmed on whole sets. Each shared shingle first
+offers its members to one hub; what is then in one component needs no more
+pairs, so a dense group costs rows in proportion to its size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lattica.llm.common import checkpoint, components, tidied
+from lattica.llm.simhash import keep_least
+
+#: Words in a shingle, and the similarity from which texts are near copies, as a fraction.
+WIDTH, SIMILAR = 5, (4, 5)
+#: Texts looked at for common shingles, in how many of them one is common, and most of these; they change the order only.
+SAMPLE, COMMON, MOST = 4000, 4, 200_000
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct XXH64 hashes of all runs of ``width`` lower-cased words, rising; of the whole text if it has fewer."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths) + np.arange(len(words))
+    starts = (ends - lengths)[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends[len(words) - n :].tolist(), strict=True)), np.uint64, n))
+
+
+def similar(shared: int, a: int, b: int) -> bool:
+    """Whether sets of a and b members with ``shared`` in common reach ``SIMILAR``, in whole numbers."""
+    p, q = SIMILAR
+    return shared * (p + q) >= p * (a + b)
+
+
+def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of which a similar text must hold one: the first n - ceil(p n / q) + 1, common ones last."""
+    p, q = SIMILAR
+    if not found.size:
+        return found
+    last = np.isin(found, common, assume_unique=True)
+    return np.concatenate([found[~last], found[last]])[: found.size - -(-p * found.size // q) + 1]
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles held by several texts of a sample: at most ``MOST``, the most frequent first; bounded whatever the table's size."""
+    rows = docs.count()
+    each = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // SAMPLE))) == 0).distinct()
+
+    @F.pandas_udf("array<long>")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).view(np.int64) for t in texts])
+
+    counted = each.select(F.explode(held("text")).alias("token")).groupBy("token").count().filter(F.col("count") >= COMMON)
+    best = counted.orderBy(F.desc("count"), "token").limit(MOST).toPandas()
+    return best["token"].to_numpy(np.int64).view(np.uint64)
+
+
+def set_hash(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)) if found.size else 0
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp and held (the set as bytes) of the texts with the ids ``wanted`` (doc_id); sets are made anew, for they take more room than texts."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            found = [shingles(t) for t in frame["text"]]
+            yield pd.DataFrame({"fp": np.array([set_hash(x) for x in found], np.int64), "held": [x.tobytes() for x in found]})
+
+    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi").select("text").mapInPandas(tidied(make), "fp long, held binary")
+
+
+def add_sets(docs: DataFrame, keep: list[str], common: np.ndarray) -> DataFrame:
+    """``keep`` columns, fp (a hash of the text's set of shingles; 0 without words), n and first (the prefix)."""
+    kind = "fp long, n long, first array<long>"
+
+    @F.pandas_udf(kind)
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            out = []
+            for text in s:
+                found = shingles(text)
+                out.append((set_hash(found), found.size, prefix(found, common).view(np.int64)))
+            yield pd.DataFrame(out, columns=["fp", "n", "first"])
+
+    return docs.select(*keep, sets(F.col("text")).alias("x")).select(*keep, "x.*")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose whole sets are similar."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            ok = []
+            for x, y in zip(frame["x"], frame["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                ok.append(similar(int(np.count_nonzero(both[1:] == both[:-1])), x.size, y.size))
+            yield frame.loc[np.array(ok, bool), ["a", "b"]]
+
+    left, right = sets.select(F.col("fp").alias("a"), F.col("held").alias("x")), sets.select(F.col("fp").alias("b"), F.col("held").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(tidied(compare), "a long, b long")
+
+
+def similar_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) over the distinct sets of ``rows`` (doc_id, fp, n, first; checkpointed), made from ``docs``, that are linked by similar pairs."""
+    tokens = rows.select("fp", "n", F.posexplode("first").alias("at", "token"))
+    whole = Window.partitionBy("token")
+    shared = tokens.withColumn("least", F.min("fp").over(whole)).withColumn("most", F.max("fp").over(whole)).filter("least <> most")
+    members = checkpoint(shared.select("token", "fp", "n", "at").distinct())
+    named = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    p, q = SIMILAR
+    near = (F.col("n") * p <= F.col("m") * q) & (F.col("m") * p <= F.col("n") * q)
+    # what precedes the first shingle that two sets share is in one of them only, and similar sets differ in little
+    near &= (F.col("at") + F.col("to_at")) * (q + p) <= (F.col("n") + F.col("m")) * (q - p)
+    pair = [F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")]
+    links = tested = groups = None
+    for hubs in (F.col("fp"), F.xxhash64("fp"), None):
+        now = members
+        if groups is not None:
+            now = members.join(groups, members.fp == groups.node, "left").select("token", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
+        else:
+            now = members.withColumn("root", F.col("fp"))
+        ends = now.select("token", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("to_at"), F.col("root").alias("to"))
+        if hubs is not None:
+            hub = now.groupBy("token").agg(F.min(F.struct(hubs.alias("h"), "fp", "n", "at", "root")).alias("x"))
+            ends = hub.select("token", F.col("x.fp").alias("other"), F.col("x.n").alias("m"), F.col("x.at").alias("to_at"), F.col("x.root").alias("to"))
+        else:  # components that meet at one shingle only; each pair once
+            open_tokens = now.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("token")
+            now = checkpoint(now.join(open_tokens, "token", "left_semi"))
+            ends = now.select("token", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("to_at"), F.col("root").alias("to"))
+        offered = now.join(ends, "token").filter(near & (F.col("root") != F.col("to")))
+        if hubs is None:
+            offered = offered.filter("fp < other")
+        offered = offered.select(*pair).distinct()
+        pairs = checkpoint(offered if tested is None else offered.join(tested, ["a", "b"], "left_anti"))
+        used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        sets = checkpoint(whole_sets(docs, named.join(used, "fp")).join(used, "fp", "left_semi").dropDuplicates(["fp"]))
+        found = checkpoint(confirm(pairs, sets))
+        links = found if links is None else links.unionAll(found)
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        groups = components(links)
+    return groups
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``; of texts linked by similar pairs the row with the least doc_id stays.
+
+    Texts with the same set of shingles are one; null and wordless ones as well.
+    """
+    common = common_shingles(docs)
+    rows = checkpoint(add_sets(docs, ["doc_id"], common))
+    groups = similar_components(docs, rows)
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = checkpoint(fps.join(groups, fps.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
+    marked = rows.select("doc_id", "fp").join(named, F.col("fp") == F.col("__fp")).drop("__fp")
+    return keep_least(docs, checkpoint(marked), lambda: add_sets(docs, docs.columns, common).drop("n", "first"))

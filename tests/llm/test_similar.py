@@ -1,0 +1,53 @@
+"""The pipeline's near-copy stage against all pairs by brute force."""
+
+import itertools
+
+import numpy as np
+
+import corpus_pipeline
+from lattica.llm import similar, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def word_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_go(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(400)]
+    line = list(rng.choice(words, 12))
+    texts = [None, "", " ", "one two", "One  two", "three"]
+    for n in (30, 60, 200, 200, 500):
+        base = list(rng.choice(words, n))
+        for edits in (0, 0, 1, 1, 2, 3, 5, 8):
+            new = list(base)
+            for at in rng.integers(0, n, edits):
+                new[at] = "x" + str(rng.integers(1 << 30))
+            texts.append(" ".join(new))
+    chain = list(rng.choice(words, 100))
+    for step in range(0, 60, 4):  # neighbours are near copies, the ends are not
+        texts.append(" ".join(chain[step:] + [f"y{i}" for i in range(step)]))
+    texts += [" ".join([*line, *rng.choice(words, 40)]) for _ in range(40)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    sets = [word_sets(t) for t in texts]
+    label = list(range(len(texts)))
+    wide = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            wide += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 2
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    assert wide > 20
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(set(label))
+    twice = docs.unionAll(docs.filter("doc_id in (7, 100)"))
+    assert sorted(r.doc_id for r in stage(spark, twice, "").collect()) == sorted(set(label))
+    assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_similarity_is_exact_at_the_limit():
+    assert similar.similar(8, 8, 10) and not similar.similar(7, 8, 10) and similar.similar(80, 90, 90) and not similar.similar(79, 90, 90)
