@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by NN-descent.
 
 A neighbour graph starts from sorted random projections and is refined by
-comparing, at every node, its neighbours with each other. Nodes whose lists are
-full of links are saturated: there the list is enlarged to the whole component,
-counted block against block. A brute-force audit measures recall, and edges at
-or above the threshold are kept. Cosines that decide are in double precision.
+comparing, at every node, its neighbours with each other. Lists full of links
+are saturated: they are enlarged by the nearest vectors outside the node's
+component, until no further link joins two components. Links are then counted on
+whole components, block against block. A brute-force audit measures recall, and
+edges at or above the threshold are kept. Cosines that decide are in double precision.
 """
 
 from __future__ import annotations
@@ -22,12 +23,18 @@ from lattica.llm.common import checkpoint, components, number_rows, partitions
 THRESHOLD, NEIGHBOURS = 0.95, 12
 #: Projection orders at the start, refinement rounds, vectors compared at once.
 TREES, ROUNDS, BLOCK = 4, 2, 256
-#: Members of a component compared at once when saturated lists are enlarged.
+#: Members of a component compared at once when its links are counted.
 CHUNK = 1024
+#: Members of a component that look for others in the projection orders, and how often components may be joined.
+ENVOYS, ENLARGE = 8, 12
 #: Audited vectors, the recall they must show, and how often more rounds may be added.
 AUDIT, LEAST_RECALL, RETRIES = 200, 0.97, 3
 
 
+#: Columns of a neighbour graph; own: both ends lie in one component.
+EDGES = "a long, b long, sim double, own boolean"
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id and v, the unit vector in double precision; null for what cannot link (null, zero, null or non-finite parts)."""
 
@@ -63,6 +70,15 @@ def _top(sims: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[rows], "b": ids[best.ravel()], "sim": sims[rows, best.ravel()]})
 
 
+def _sides(sims: np.ndarray, ids: np.ndarray, roots: np.ndarray, k: int) -> pd.DataFrame:
+    """The k greatest of each row outside its component and the k greatest inside (own): a, b, sim, own."""
+    same = roots[:, None] == roots[None, :]
+    inside = _top(np.where(same, sims, -2.0), ids, k).assign(own=True)
+    outside = _top(np.where(same, -2.0, sims), ids, k).assign(own=False)
+    both = pd.concat([outside, inside])
+    return both[both["sim"] > -2.0]
+
+
 def start_graph(classes: DataFrame, k: int, seed: int) -> DataFrame:
     """Neighbours within blocks of vectors that lie next to each other in the order of random hyperplane codes.
 
@@ -78,9 +94,9 @@ def start_graph(classes: DataFrame, k: int, seed: int) -> DataFrame:
                 planes = rng.standard_normal((int(dim), 24))
                 bits = (x @ planes[:, :12] > 0) @ (1 << np.arange(12)[::-1])
                 fine = x @ planes[:, 12]
-                yield pd.DataFrame({"cid": part["cid"].to_numpy(), "v": part["v"].to_numpy(), "dim": int(dim), "code": bits.astype(np.int32), "fine": fine})
+                yield pd.DataFrame({"cid": part["cid"].to_numpy(), "root": part["root"].to_numpy(), "v": part["v"].to_numpy(), "dim": int(dim), "code": bits.astype(np.int32), "fine": fine})
 
-    coded = classes.select("cid", "v").mapInPandas(code, "cid long, v array<double>, dim int, code int, fine double")
+    coded = classes.select("cid", "root", "v").mapInPandas(code, "cid long, root long, v array<double>, dim int, code int, fine double")
     order = [F.col(c) for c in ("dim", "code", "fine", "cid")]
     dealt = coded.repartitionByRange(partitions(classes), *order).sortWithinPartitions(*order)
 
@@ -90,14 +106,14 @@ def start_graph(classes: DataFrame, k: int, seed: int) -> DataFrame:
                 for at in range(0, len(part), BLOCK):
                     block = part.iloc[at : at + BLOCK]
                     x = _matrix(block["v"])
-                    yield _top(x @ x.T, block["cid"].to_numpy(), k)
+                    yield _sides(x @ x.T, block["cid"].to_numpy(), block["root"].to_numpy(), k)
 
-    return dealt.mapInPandas(compare, "a long, b long, sim double")
+    return dealt.mapInPandas(compare, EDGES).withColumn("sim", F.round("sim", 12))
 
 
 def keep_nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The k greatest per node; ranks are limited in every task before rows move."""
-    rank = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    """The k greatest per node inside and outside its component; ranks are limited in every task before rows move."""
+    rank = Window.partitionBy("a", "own").orderBy(F.desc("sim"), "b")
     return edges.distinct().withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k).drop("r")
 
 
@@ -107,9 +123,9 @@ def refine(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     Backward lists hold the k nearest that name the node, so a hub costs no more
     than any node. Each pair offers itself to both ends; the k best stay.
     """
-    back = keep_nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"), k)
+    back = keep_nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "own"), k)
     near = graph.unionAll(back).select("a", "b").distinct()
-    carried = near.join(classes.select(F.col("cid").alias("b"), "v"), "b").unionAll(classes.select(F.col("cid").alias("b"), F.col("cid").alias("a"), "v").select("b", "a", "v"))
+    carried = near.join(classes.select(F.col("cid").alias("b"), "v", "root"), "b").unionAll(classes.select(F.col("cid").alias("b"), F.col("cid").alias("a"), "v", "root"))
 
     def local_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_groups(batches, "a"):
@@ -119,15 +135,49 @@ def refine(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
                 if hi - lo < 2:
                     continue
                 x = _matrix(frame["v"].iloc[lo:hi])
-                out.append(_top(x @ x.T, ids, min(k, 4)))
+                out.append(_sides(x @ x.T, ids, frame["root"].to_numpy()[lo:hi], min(k, 4)))
             if out:
                 merged = pd.concat(out)
                 merged = merged.drop_duplicates(["a", "b"]).sort_values(["a", "sim"], ascending=[True, False])
-                yield merged[merged.groupby("a").cumcount() < k]
+                yield merged[merged.groupby(["a", "own"]).cumcount() < k]
 
-    offered = carried.repartition("a").sortWithinPartitions("a").mapInPandas(local_join, "a long, b long, sim double")
+    offered = carried.repartition("a").sortWithinPartitions("a").mapInPandas(local_join, EDGES)
     rounded = F.round("sim", 12).alias("sim")  # one pair, one value, whatever block it was computed in
-    return keep_nearest(graph.select("a", "b", rounded).unionAll(offered.select("a", "b", rounded)), k)
+    return keep_nearest(graph.select("a", "b", rounded, "own").unionAll(offered.select("a", "b", rounded, "own")), k)
+
+
+def with_roots(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    return classes.drop("root").join(groups, classes.cid == groups.node, "left").drop("node").withColumn("root", F.coalesce("root", "cid"))
+
+
+def enlarge(graph: DataFrame, classes: DataFrame, k: int, threshold: float, seed: int) -> DataFrame:
+    """The components (node, root) of the links, after saturated lists were enlarged beyond their component.
+
+    Each node keeps its k nearest inside and its k nearest outside its
+    component, so a list full of links never hides another group, whatever the
+    group's size. Some members of each component enter new projection orders,
+    the others learn of what they met by refinement. Ends when no link joins
+    two components any more; the audit judges what is left.
+    """
+    links = graph.filter(F.col("sim") >= threshold).select("a", "b")
+    groups = components(links)
+    for step in range(ENLARGE):
+        placed = checkpoint(with_roots(classes, groups))
+        root_of = lambda end: placed.select(F.col("cid").alias(end), F.col("root").alias(f"root_{end}"))
+        sided = graph.join(root_of("a"), "a").join(root_of("b"), "b").select("a", "b", "sim", (F.col("root_a") == F.col("root_b")).alias("own"))
+        rank = Window.partitionBy("root").orderBy(F.xxhash64("cid", F.lit(seed + step)), "cid")
+        envoys = checkpoint(placed.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= ENVOYS).drop("r"))
+        for t in range(TREES):
+            sided = sided.unionAll(start_graph(envoys, k, seed + 100 * (step + 1) + t))
+        graph = checkpoint(keep_nearest(sided, k))
+        for _ in range(ROUNDS):
+            graph = checkpoint(refine(graph, placed, k))
+        crossing = checkpoint(graph.filter(~F.col("own") & (F.col("sim") >= threshold)).select("a", "b"))
+        if crossing.isEmpty():
+            break
+        links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(crossing)
+        groups = components(links)
+    return groups
 
 
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -159,7 +209,7 @@ def count_links(classes: DataFrame, groups: DataFrame, threshold: float) -> Data
     need no comparison; others are compared as blocks, which give counts per
     vector and never a row per pair.
     """
-    members = checkpoint(classes.join(groups, classes.cid == groups.node).select("root", "cid", "v", "copies"))
+    members = checkpoint(classes.drop("root").join(groups, classes.cid == groups.node).select("root", "cid", "v", "copies"))
     ranked = checkpoint(number_rows(members.select("root", "cid", "copies"), ["cid"], "r", groups=["root"]))
     chunked = members.join(ranked.select(F.col("cid").alias("c"), F.floor(F.col("r") / CHUNK).cast("long").alias("chunk")), F.col("cid") == F.col("c")).drop("c")
     reach = math.acos(threshold)
@@ -242,24 +292,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     able = units.filter("v is not null")
     keyed = able.withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
     names = keyed.groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
-    classes = checkpoint(number_rows(checkpoint(names), ["key"], "cid"))
+    classes = checkpoint(number_rows(checkpoint(names), ["key"], "cid").withColumn("root", F.col("cid")))
     graph = None
     for trial in range(RETRIES + 1):
         starts = [start_graph(classes, k, 1000 * trial + t) for t in range(TREES)]
         offered = starts[0]
         for s in starts[1:]:
             offered = offered.unionAll(s)
-        offered = offered.select("a", "b", F.round("sim", 12).alias("sim"))
         graph = checkpoint(keep_nearest(offered if graph is None else offered.unionAll(graph), k))
         for _ in range(ROUNDS):
             graph = checkpoint(refine(graph, classes, k))
         # a shade below the threshold here; count_links() decides in double precision on whole components
-        groups = components(graph.filter(F.col("sim") >= threshold).select("a", "b"))
+        groups = enlarge(graph, classes, k, threshold, 1000 * trial + 500)
         links = checkpoint(count_links(classes, groups, threshold))
         recall = audit(classes, links, threshold)
         if recall >= LEAST_RECALL:
             break
-    rooted = classes.join(groups, classes.cid == groups.node, "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = with_roots(classes, groups)
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "root").join(links.withColumnRenamed("cid", "l_cid"), F.col("cid") == F.col("l_cid"), "left")
     per_class = named.select(F.col("key").alias("k"), (F.coalesce("links", "copies") - 1).cast("long").alias("n_links"), "component_id")
