@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import checkpoint, components, number_rows, partitions
+from lattica.llm.simhash import _forest as spanning_labels
 
 THRESHOLD, NEIGHBOURS = 0.95, 12
 #: Projection orders at the start, refinement rounds, vectors compared at once.
@@ -27,8 +28,12 @@ TREES, ROUNDS, BLOCK = 4, 2, 256
 CHUNK = 1024
 #: Members of a component that look for others in the projection orders, and how often components may be joined.
 ENVOYS, ENLARGE = 8, 12
-#: Audited vectors, the recall they must show, and how often more rounds may be added.
-AUDIT, LEAST_RECALL, RETRIES = 200, 0.97, 3
+#: Audited vectors at first and at most, how many linked ones outside large groups are wanted among them, and the links from which a group is large.
+AUDIT, MOST_AUDIT, WANTED, LARGE = 1000, 8000, 50, 64
+#: The recall they must show, and how often more rounds may be added before all blocks are compared.
+LEAST_RECALL, RETRIES = 0.97, 2
+#: One more projection order for each doubling of the vectors beyond this.
+DOUBLED = 4096
 
 
 #: Columns of a neighbour graph; own: both ends lie in one component.
@@ -256,26 +261,73 @@ def count_links(classes: DataFrame, groups: DataFrame, threshold: float) -> Data
 
 
 def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Recall of links for the ``queries`` least-hashed linked or unlinked vectors, by comparing them with every vector."""
-    asked = classes.orderBy(F.xxhash64("cid"), "cid").limit(queries).select("cid", "v").collect()  # at most `queries` rows
-    if not asked:
-        return 1.0
-    dims: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dim in {len(r.v) for r in asked}:
-        own = [r for r in asked if len(r.v) == dim]
-        dims[dim] = (np.array([r.cid for r in own]), np.array([r.v for r in own]))
-
-    def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mean share of its links that is found for each linked vector among the least-hashed ones, compared with every vector.
+
+    Every linked vector weighs the same; those with fewer than ``LARGE`` links
+    are averaged apart as well, and the lower mean counts, so a hot group cannot
+    cover for lost pairs. More are asked while fewer than ``WANTED`` of those are met.
+    """
+    while True:
+        asked = classes.orderBy(F.xxhash64("cid"), "cid").limit(queries).select("cid", "v").collect()  # at most MOST_AUDIT rows
+        if not asked:
+            return 1.0
+        dims: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dim in {len(r.v) for r in asked}:
+            own = [r for r in asked if len(r.v) == dim]
+            dims[dim] = (np.array([r.cid for r in own]), np.array([r.v for r in own]))
+
+        def brute(batches: Iterator[pd.DataFrame], dims: dict = dims) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                for dim, part in frame.groupby(frame["v"].map(len)):
+                    if int(dim) in dims:
+                        ids, q = dims[int(dim)]
+                        for at in range(0, len(part), CHUNK):
+                            some = part.iloc[at : at + CHUNK]
+                            yield pd.DataFrame({"q": ids, "n": (q @ _matrix(some["v"]).T >= threshold) @ some["copies"].to_numpy()})
+
+        truth = classes.mapInPandas(brute, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
+        found = truth.join(links, truth.q == links.cid, "left").join(classes.select(F.col("cid").alias("c"), "copies"), F.col("q") == F.col("c"))
+        # a class of copies is judged by its links to others
+        linked = found.filter("n > copies").withColumn("share", (F.coalesce("links", "copies") - F.col("copies")) / (F.col("n") - F.col("copies")))
+        few = F.col("n") - F.col("copies") < LARGE
+        mean, small, met = linked.agg(F.avg("share"), F.avg(F.when(few, F.col("share"))), F.count(F.when(few, 1))).first()
+        if met >= WANTED or len(asked) < queries or queries >= MOST_AUDIT:
+            return min(1.0 if mean is None else mean, 1.0 if small is None else small)
+        queries = min(MOST_AUDIT, 4 * queries)
+
+
+def every_link(classes: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that connect the vectors as all links do, by comparing every block with every block.
+
+    In time that grows with the square of the table; a pair of blocks returns a
+    spanning forest of its links. Taken only where the audit stays too low.
+    """
+    rows = classes.count()
+    blocks = max(1, -(-rows // CHUNK))
+    keyed = classes.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("long")).withColumn("dim", F.size("v"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(batches, "key"):
+            for lo, hi in _runs(frame["key"].to_numpy()):
+                part = frame.iloc[lo:hi]
+                yield pd.DataFrame({"dim": [int(part["dim"].iloc[0])], "block": [int(part["block"].iloc[0])], "ids": [part["cid"].to_numpy()], "x": [_matrix(part["v"]).tobytes()]})
+
+    sorted_rows = keyed.select("cid", "v", "dim", "block", F.concat_ws("/", "dim", "block").alias("key")).repartition("key").sortWithinPartitions("key")
+    packed = checkpoint(sorted_rows.mapInPandas(pack, "dim int, block long, ids array<long>, x binary"))
+    left = packed.select("dim", *[F.col(c).alias(f"l_{c}") for c in ("block", "ids", "x")])
+    pairs = left.join(packed, "dim").filter("l_block <= block").repartition(partitions(classes), "l_block", "block")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for dim, part in frame.groupby(frame["v"].map(len)):
-                if int(dim) in dims:
-                    ids, q = dims[int(dim)]
-                    yield pd.DataFrame({"q": ids, "n": (q @ _matrix(part["v"]).T >= threshold) @ part["copies"].to_numpy()})
+            for l_ids, l_x, ids, x in zip(frame["l_ids"], frame["l_x"], frame["ids"], frame["x"], strict=True):
+                left, right = np.asarray(l_ids), np.asarray(ids)
+                i, j = np.nonzero(np.frombuffer(l_x).reshape(len(left), -1) @ np.frombuffer(x).reshape(len(right), -1).T >= threshold)
+                nodes, at = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
+                label = spanning_labels(len(nodes), iter([(at[: len(i)], at[len(i) :])]))
+                own = np.flatnonzero(label != np.arange(len(label)))
+                yield pd.DataFrame({"a": nodes[own], "b": nodes[label[own]]}, dtype=np.int64)
 
-    truth = classes.mapInPandas(brute, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
-    found = truth.join(links, truth.q == links.cid, "left").join(classes.select(F.col("cid").alias("c"), "copies"), F.col("q") == F.col("c"))
-    all_links, got = found.agg(F.sum(F.col("n") - F.col("copies")), F.sum(F.coalesce("links", "copies") - F.col("copies"))).first()
-    return 1.0 if not all_links else got / all_links
+    return pairs.select("l_ids", "l_x", "ids", "x").mapInPandas(compare, "a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -284,7 +336,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     Links join vectors of one dimension at cosine >= ``threshold``; null, zero
     and non-finite ones link with nothing. Vectors with one direction bit for
     bit are one class and count by their copies. Pairs found are exact; some may
-    be missed, as the audited recall tells. Null vec_ids and repeated ids are
+    be missed, as the audited recall tells; where it stays under ``LEAST_RECALL``,
+    every block is compared with every block and none is missed. Null vec_ids and repeated ids are
     kept as rows; a repeated id counts as another vector and joins its twins'
     component. Labels and further columns are not looked at.
     """
@@ -294,8 +347,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     names = keyed.groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     classes = checkpoint(number_rows(checkpoint(names), ["key"], "cid").withColumn("root", F.col("cid")))
     graph = None
+    trees = TREES + max(0, math.ceil(math.log2(max(1, classes.count()) / DOUBLED)))
     for trial in range(RETRIES + 1):
-        starts = [start_graph(classes, k, 1000 * trial + t) for t in range(TREES)]
+        starts = [start_graph(classes, k, 1000 * trial + t) for t in range(trees)]
         offered = starts[0]
         for s in starts[1:]:
             offered = offered.unionAll(s)
@@ -308,6 +362,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         recall = audit(classes, links, threshold)
         if recall >= LEAST_RECALL:
             break
+    else:
+        groups = components(every_link(classes, threshold))
+        links = checkpoint(count_links(classes, groups, threshold))
+        recall = audit(classes, links, threshold)
     rooted = with_roots(classes, groups)
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "root").join(links.withColumnRenamed("cid", "l_cid"), F.col("cid") == F.col("l_cid"), "left")

@@ -21,3 +21,34 @@ def test_full_lists_do_not_hide_another_group(spark):
     assert true[:600].min() == 49
     assert [got[i].n_links for i in range(len(rows))] == true.tolist()
     assert sum(r.kept for r in got.values()) == 12 + 300
+
+
+def hot_group_and_pairs():
+    rng = np.random.default_rng(4)
+    pairs = rng.standard_normal((100, 64))
+    rows = [*(np.ones(64) + 0.001 * rng.standard_normal((300, 64))), *np.repeat(pairs, 2, axis=0) + 0.01 * rng.standard_normal((200, 64))]
+    return [x / np.sqrt((x**2).sum()) for x in rows]
+
+
+def as_classes(spark, unit):
+    rows = [(i, i, [float(y) for y in x], 1) for i, x in enumerate(unit)]
+    return spark.createDataFrame(rows, "cid long, root long, v array<double>, copies long").repartition(3).cache()
+
+
+def test_a_hot_group_does_not_hide_lost_pairs(spark):
+    classes = as_classes(spark, hot_group_and_pairs())
+    lost = spark.createDataFrame([(i, 300 if i < 300 else 1) for i in range(500)], "cid long, links long")
+    assert nn_descent.audit(classes, lost, 0.95) == 0
+    found = spark.createDataFrame([(i, 300 if i < 300 else 2) for i in range(500)], "cid long, links long")
+    assert nn_descent.audit(classes, found, 0.95) == 1
+
+
+def test_what_the_audit_refuses_is_searched_exactly(spark, monkeypatch):
+    unit = hot_group_and_pairs()
+    monkeypatch.setattr(nn_descent, "RETRIES", 0)
+    monkeypatch.setattr(nn_descent, "CHUNK", 64)
+    monkeypatch.setattr(nn_descent, "enlarge", lambda graph, *rest: nn_descent.components(graph.filter("a < 0").select("a", "b")))
+    got = nn_descent.near_duplicates(spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(unit)], "vec_id long, embedding array<double>")).collect()
+    sims = np.array(unit) @ np.array(unit).T >= 0.95
+    assert {r.vec_id: r.n_links for r in got} == {i: int(n) - 1 for i, n in enumerate(sims.sum(axis=1))}
+    assert {r.recall for r in got} == {1.0}
