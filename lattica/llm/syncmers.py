@@ -47,17 +47,17 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: bytes, k: int = K, s: int = S, short: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the closed syncmers; 8 <= s <= 16 and s < k <= 2s are needed.
 
-    Texts under ``SHORT`` bytes take k = 4 and s = 3, where every k-mer has its
-    least s-mer at an edge. A text with no k-mer chosen has one anchor: the whole
+    ``short`` (None: texts under ``SHORT`` bytes) takes k = 4 and s = 3, where
+    every k-mer has its least s-mer at an edge. A text with no k-mer chosen has one anchor: the whole
     text at 0. The empty text has none.
     """
     if not 8 <= s <= 16 or not s < k <= 2 * s:
         raise ValueError("needs 8 <= s <= 16 and s < k <= 2s")
     n = len(data) - k + 1
-    if 4 <= len(data) < SHORT:
+    if len(data) >= 4 and (len(data) < SHORT if short is None else short):
         x = np.frombuffer(data, np.uint8).astype(np.uint64)
         return np.arange(len(x) - 3), _mix(x[:-3] | x[1:-2] << np.uint64(8) | x[2:-1] << np.uint64(16) | x[3:] << np.uint64(24))
     if n > 0:
@@ -73,13 +73,13 @@ def anchors(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray
     return np.zeros(1, np.int64), np.array([whole], np.uint64)
 
 
-def sketch(data: bytes, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:
+def sketch(data: bytes, k: int = K, s: int = S, size: int = SKETCH, short: bool | None = None) -> np.ndarray:
     """The ``size`` least hashes of the anchors with their repeats, as rising unsigned 32-bit numbers.
 
     The r-th occurrence of an anchor counts as an anchor of its own, so a text
     of repeated lines is weighed by its length, not by its few different lines.
     """
-    hashes = np.sort(anchors(data, k, s)[1])
+    hashes = np.sort(anchors(data, k, s, short)[1])
     if hashes.size > 1:
         at = np.arange(hashes.size)
         first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
@@ -98,6 +98,16 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return shared / first.size
 
 
+def pair_likeness(a: bytes, b: bytes, of_a: np.ndarray, of_b: np.ndarray, k: int = K, s: int = S, size: int = SKETCH) -> float:
+    """likeness() of two texts with sketches ``of_a`` and ``of_b``; if only one is short, the other is sketched anew at its k and s."""
+    if (len(a) < SHORT) != (len(b) < SHORT):
+        if len(a) < SHORT:
+            of_b = sketch(b, k, s, size, short=True)
+        else:
+            of_a = sketch(a, k, s, size, short=True)
+    return likeness(of_a, of_b, size)
+
+
 def _hex(x: np.ndarray) -> str:
     return x.astype(">u4").tobytes().hex()
 
@@ -157,9 +167,10 @@ def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, size: int = S
 
         def close(doc, following) -> tuple:
             doc_id, text, own = doc
+            data = text.encode()
             edited = edited_text(text, following[1]).encode()
             other = sketch(edited, k, s, size)
-            return (doc_id, len(text), hashlib.sha256(edited).hexdigest(), _hex(own), _hex(other), likeness(own, other, size), likeness(own, following[2], size))
+            return (doc_id, len(text), hashlib.sha256(edited).hexdigest(), _hex(own), _hex(other), pair_likeness(data, edited, own, other, k, s, size), pair_likeness(data, following[1].encode(), own, following[2], k, s, size))
 
         columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         for frame in batches:
