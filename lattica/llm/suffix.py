@@ -7,9 +7,10 @@ text, equal stretches as one with their number. Each shard concatenates its
 stretches, sorts all suffixes by induced sorting (Nong, Zhang, Chan 2009), and
 compares each suffix with its predecessor in that order (permuted common
 prefixes). Strings that a neighbour shares for a whole window are removed from
-every document they came from. The stretches of a minimizer with very many
-occurrences would fill one shard; their windows are counted by digest instead. Minimizers that occur once are dropped by count
-before any text moves.
+every document they came from. Minimizers that occur once are dropped by count
+before any text moves. A minimizer whose different stretches would not fit one
+suffix array is divided to the end: each of its strings is a shard of its own,
+known by its digest, and is repeated if that shard holds more than one.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from lattica.llm.common import checkpoint, tidied
 
 WINDOW, KMER = 200, 32
-#: Occurrences of a minimizer beyond which its strings are dealt out one by one.
-HOT = 24_000
+#: Different stretches of a minimizer (of 200 to 368 bytes each) beyond which its strings are dealt out one by one.
+HOT = 20_000
+#: A minimizer with more than this share of all occurrences, and this many, is spread over ``SALTS`` keys when occurrences meet their counts.
+HEAVY, HEAVY_ROWS, SALTS = 1 / 1000, 4096, 64
 #: Bytes of text for one suffix array (small enough for the processor's cache); a minimizer's stretches are never divided.
 SHARD_BYTES = 300_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -378,19 +381,19 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _judge(stretches: DataFrame, window: int, shard_bytes: int) -> DataFrame:
-    """(m, s, from, to): starts within a stretch whose window is repeated. A shard holds whole minimizers and gets a suffix array."""
+    """(m, s, spans): per stretch the [from, to) starts whose window is repeated. A shard holds whole minimizers and gets a suffix array."""
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size, last = 0, None
-        columns = ["m", "s", "from", "to"]
+        columns = ["m", "s", "spans"]
 
         def close() -> list[tuple]:
             rows = []
             for (m, s, copies, _), flags in zip(held, repeated_starts([x[3] for x in held], window), strict=True):
-                if copies > 1:
-                    flags = np.ones(len(flags), bool)
-                rows += [(m, s, a, b) for a, b in _spans(flags)]
+                spans = [(0, len(flags))] if copies > 1 else _spans(flags)
+                if spans:
+                    rows.append((m, s, [{"from": a, "to": b} for a, b in spans]))
             return rows
 
         out: list[tuple] = []
@@ -405,7 +408,7 @@ def _judge(stretches: DataFrame, window: int, shard_bytes: int) -> DataFrame:
                 held.append((m, s, copies, data))
                 size += len(data)
                 last = (m, s)
-                if len(out) > 50_000:
+                if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
         if held:
@@ -413,26 +416,58 @@ def _judge(stretches: DataFrame, window: int, shard_bytes: int) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    return stretches.repartition("m").sortWithinPartitions("m", "s").mapInPandas(tidied(shard), "m long, s long, from int, to int")
+    return stretches.repartition("m").sortWithinPartitions("m", "s").mapInPandas(tidied(shard), "m long, s long, spans array<struct<from:int,to:int>>")
 
 
 def _counted(windows: DataFrame) -> DataFrame:
-    """(m, s, from, to): starts of windows whose digest counts more than once."""
+    """(m, s, spans): as _judge(), for windows whose digest counts more than once."""
     often = windows.groupBy("d").agg(F.sum("copies").alias("c")).filter("c > 1").select(F.col("d").alias("again"))
     starts = windows.join(often, windows.d == often.again).groupBy("m", "s").agg(F.collect_set("from").alias("at"))  # at most 200 each
-    return starts.select("m", "s", F.explode("at").alias("from")).select("m", "s", "from", (F.col("from") + 1).alias("to"))
+
+    @F.pandas_udf("array<struct<from:int,to:int>>")
+    def spans(starts: pd.Series) -> pd.Series:
+        out = []
+        for at in starts:
+            flags = np.zeros(int(max(at)) + 1, bool)
+            flags[np.asarray(at)] = True
+            out.append([{"from": a, "to": b} for a, b in _spans(flags)])
+        return pd.Series(out)
+
+    return starts.select("m", "s", spans("at").alias("spans"))
+
+
+def _repeated_runs(keyed: DataFrame, window: int) -> DataFrame:
+    """The occurrences of minimizers that occur more than once.
+
+    Counts meet the occurrences on the minimizer; those that hold a large share
+    of all rows (at most 1 / ``HEAVY`` of them) are spread over ``SALTS`` keys.
+    """
+    runs = _occurrences(keyed, window)
+    counts = checkpoint(runs.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    least = max(HEAVY_ROWS, int((counts.agg(F.sum("c")).first()[0] or 0) * HEAVY))
+    heavy = [r.m for r in counts.filter(F.col("c") > least).select("m").collect()]  # at most 1 / HEAVY of them
+    salt = F.when(F.col("m").isin(heavy), F.pmod(F.xxhash64("id", "start"), F.lit(SALTS))).otherwise(0) if heavy else F.lit(0).cast("long")
+    salts = F.when(F.col("m").isin(heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if heavy else F.array(F.lit(0))
+    often = counts.select(F.col("m").alias("again"), F.explode(salts.cast("array<long>")).alias("at"))
+    salted = runs.withColumn("salt", salt)
+    return checkpoint(salted.join(often, (salted.m == often.again) & (salted.salt == often["at"])).drop("again", "at", "salt"))
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(documents by row key with text, and per row key the [from, to) byte ranges covered by repeated strings)."""
+    """(documents by row key with text, and per row key __id, __th the [from, to) byte __ranges covered by repeated strings).
+
+    Each stretch is judged once, whatever the number of its copies, and gives one
+    row of spans; rows equal in doc_id and text share one row of ranges.
+    """
     keyed = _keyed(docs)
-    runs = _occurrences(keyed, window)
-    often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("m").alias("again"), (F.col("c") > hot).alias("hot"))
-    found = checkpoint(runs.join(often, runs.m == often.again).drop("again"))
-    one = F.min(F.struct("id", "th", "start", "n", "hot")).alias("x")
+    found = _repeated_runs(keyed, window)
+    one = F.min(F.struct("id", "th", "start", "n")).alias("x")
+    stretches = found.groupBy("m", "s").agg(F.count(F.lit(1)).alias("copies"), one)
+    too_many = checkpoint(stretches.groupBy("m").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > hot).select(F.col("m").alias("hot_m")))
+    any_hot = not too_many.isEmpty()
+    flagged = stretches.join(too_many, stretches.m == too_many.hot_m, "left") if any_hot else stretches.withColumn("hot_m", F.lit(None).cast("long"))
     wanted = (
-        found.groupBy("m", "s").agg(F.count(F.lit(1)).alias("copies"), one)
-        .select("m", "s", "copies", F.col("x.hot").alias("hot"), F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.col("x.id").alias("w_id"), F.col("x.th").alias("w_th"))
+        flagged.select("m", "s", "copies", F.col("hot_m").isNotNull().alias("hot"), F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.col("x.id").alias("w_id"), F.col("x.th").alias("w_th"))
         .groupBy("w_id", "w_th")
         .agg(F.collect_list(F.struct("m", "s", "copies", "hot", "start", "n")).alias("wanted"))
     )
@@ -443,14 +478,15 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sh
         return texts.withColumn("wanted", F.filter("wanted", lambda w: w["hot"] == F.lit(is_hot))).filter("size(wanted) > 0")
 
     hits = _judge(_stretches(some(False), window), window, shard_bytes)
-    if not found.filter("hot").isEmpty():
+    if any_hot:
         hits = hits.unionAll(_counted(_windows(some(True), window)))
-    hits = hits.select(F.col("m").alias("h_m"), F.col("s").alias("h_s"), "from", "to")
+    hits = hits.select(F.col("m").alias("h_m"), F.col("s").alias("h_s"), "spans")
+    ranges = F.transform("spans", lambda x: F.struct((F.col("start") + x["from"]).cast("long").alias("a"), (F.col("start") + x["to"] + (window - 1)).cast("long").alias("b")))
     covered = (
         found.join(hits, (found.m == hits.h_m) & (found.s == hits.h_s))
-        .select(F.col("id").alias("c_id"), F.col("th").alias("c_th"), "start", "from", "to")
-        .groupBy("c_id", "c_th")
-        .agg(F.collect_list(F.struct((F.col("start") + F.col("from")).cast("long").alias("a"), (F.col("start") + F.col("to") + (window - 1)).cast("long").alias("b"))).alias("ranges"))
+        .select(F.col("id").alias("__id"), F.col("th").alias("__th"), ranges.alias("r"))
+        .groupBy("__id", "__th")
+        .agg(F.flatten(F.collect_set("r")).alias("__ranges"))
     )
     return keyed, covered
 
@@ -485,7 +521,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     empty table gives an empty one; further columns are left out.
     """
     keyed, covered = repeated_intervals(docs, window, **options)
-    joined = keyed.join(covered, (keyed.id == covered.c_id) & (keyed.th == covered.c_th), "left").select("doc_id", "text", "ranges")
+    joined = keyed.join(covered, (keyed.id == covered["__id"]) & (keyed.th == covered["__th"]), "left").select("doc_id", "text", F.col("__ranges").alias("ranges"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -516,8 +552,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFra
     """
     _, covered = repeated_intervals(docs, window, **options)
     row_id, th = _keys()
-    rows = docs.select(*docs.columns, row_id.alias("__id"), th.alias("__th"))
-    joined = rows.join(covered, (rows["__id"] == covered.c_id) & (rows["__th"] == covered.c_th), "left")
+    rows = docs.select(*docs.columns, row_id.alias("__row"), th.alias("__text"))
+    joined = rows.join(covered, (rows["__row"] == covered["__id"]) & (rows["__text"] == covered["__th"]), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
@@ -533,7 +569,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFra
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    new = joined.withColumn("__cut", cut("text", "ranges")).withColumn("text", F.col("__cut"))
+    new = joined.withColumn("__cut", cut("text", "__ranges")).withColumn("text", F.col("__cut"))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("ranges").isNull(), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType)))
+        new = new.withColumn("n_chars", F.when(F.col("__ranges").isNull(), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType)))
     return new.select(*docs.columns)

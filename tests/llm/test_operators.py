@@ -115,6 +115,19 @@ def test_op4(docs, none, hot):
     assert cut[4] is None and cut[0] == "" and cut[16] == TEXTS[16] and SHARED not in cut[11]
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT, 20])
+def test_op4_on_a_common_passage(spark, monkeypatch, hot):
+    """A passage that most documents share between texts of their own, on either side of both limits, and many equal rows."""
+    monkeypatch.setattr(suffix, "HEAVY_ROWS", 50)
+    monkeypatch.setattr(suffix, "HEAVY", 0.0)
+    rows = [(i, prose(int(RNG.integers(1, 30))) + " " + SHARED + " " + prose(int(RNG.integers(1, 30)))) for i in range(120)] + [(500, BASE)] * 60 + [(501, prose(80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix.remove_repeats(docs, hot=hot)
+    assert sorted(map(tuple, got.drop("kept", "spans").collect())) == brute_repeats(rows, 200)
+    _, covered = suffix.repeated_intervals(docs, hot=hot)
+    assert covered.filter("__id = 500").selectExpr("size(__ranges)").first()[0] < 30  # not one set for each of the equal rows
+
+
 def test_op5(docs, none):
     plan = mixing.plan_mix(docs).collect()
     size = {r: len(re.findall(r"[^\x20\x09-\x0D]+", TEXTS[r] or "")) for r in range(len(TEXTS))}
