@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
 Toxic documents go; of documents linked by a five-word Jaccard similarity of 0.8
-or more one stays (op8's two SimHash bits see few such pairs); repeated
+or more one stays (found by op8's trie join over wider SimHashes); repeated
 200-byte strings are removed from the texts; sources are mixed to target
 weights (documents may come twice or in part); the mix is packed into sequences.
 """
@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import mixing, packing, similar, suffix, toxicity
+from lattica.llm import mixing, packing, simhash, suffix, toxicity
 from lattica.llm.common import ensure_checkpoint_dir, table
 from lattica.llm.queries import word_tokenizer_path
 
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.deduplicate(docs)
+    return simhash.deduplicate(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
