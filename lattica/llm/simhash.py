@@ -442,9 +442,8 @@ def deduplicate(docs: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
     pairs = checkpoint(candidate_links(able, able.count(), budget))
     used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     named = classes.join(used, "fp", "left_semi").select(F.col("fp").alias("__fp"), "least")
-    # a class's text is that of any row with its least doc_id and its set
-    owners = docs.select("doc_id", "text").join(named, docs.doc_id.eqNullSafe(named.least))
-    texts = owners.select(_set_hash_of()("text").alias("fp"), "text", "__fp").filter("fp = __fp").dropDuplicates(["fp"]).select("fp", "text")
+    owners = docs.select("doc_id", "text").join(named, docs.doc_id.eqNullSafe(named.least)).select("text", "__fp")
+    texts = owners.mapInPandas(tidied(_own_texts), "fp long, text string").dropDuplicates(["fp"])
     groups = components(confirm(pairs, texts))
     rooted = checkpoint(classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -453,6 +452,13 @@ def deduplicate(docs: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
     return keep_least(docs, checkpoint(marked), lambda: with_set_hash(docs))
 
 
+def _own_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """fp and text of the rows whose text has the set that is asked for: rows may share a doc_id."""
+    for frame in batches:
+        ok = [set_hash(shingles(t)) == fp for t, fp in zip(frame["text"], frame["__fp"], strict=True)]
+        yield pd.DataFrame({"fp": frame["__fp"], "text": frame["text"]})[ok]
+
+
 def _set_hash_of():
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
