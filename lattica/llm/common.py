@@ -22,10 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take ``spark.checkpoint.dir`` from the session; a folder of our own only where it is unset."""
+    """Take ``spark.checkpoint.dir`` from the session; where it is unset, a folder of our own in local mode, an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

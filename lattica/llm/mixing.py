@@ -138,13 +138,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     counted = docs.withColumn("__size", words)
     repeated = not plan.groupBy("doc_id", "size").count().filter("count > 1").isEmpty()
     keys = ["__doc", "__n"]
-    side = plan.select(F.col("doc_id").alias("__doc"), F.col("size").alias("__n"), "takes")
+    side = plan.select(F.col("doc_id").alias("__doc"), F.col("size").alias("__n"), F.col("takes").alias("__takes"))
     cond = counted.doc_id.eqNullSafe(side["__doc"]) & (counted["__size"] == side["__n"])
     if repeated:
-        side = side.withColumn("__copy", F.row_number().over(Window.partitionBy(*keys).orderBy("takes")))
-        counted = counted.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy(*[F.col(c) for c in ("text", "source")])))
+        side = side.withColumn("__copy", F.row_number().over(Window.partitionBy(*keys).orderBy("__takes")))
+        counted = counted.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy("text", "source")))
         cond = counted.doc_id.eqNullSafe(side["__doc"]) & (counted["__size"] == side["__n"]) & (counted["__row"] == side["__copy"])
-    each = counted.join(side, cond).withColumn("__take", F.explode("takes"))
+    each = counted.join(side, cond).withColumn("__take", F.explode("__takes"))
     ends = F.expr("__take.words < __size")
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(ends, F.array_join(F.slice(parts, 1, F.expr("int(__take.words)")), "")).otherwise(F.col("text"))

@@ -28,9 +28,15 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix per document in training order: what is taken, in how many epochs, and the training positions of its first and last take.
+
+    Null texts have size 0 and are never taken (positions null); repeated rows
+    take part one by one; an empty table gives an empty one.
+    """
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    first = plan.withColumn("first_position", F.get("takes", F.lit(0))["position"])
-    return mixing.in_training_order(first, "first_position").select("doc_id", "size", "source_size", "target", "taken")
+    first, last = F.get("takes", F.lit(0))["position"], F.get("takes", F.size("takes") - 1)["position"]
+    placed = plan.withColumn("position", first).withColumn("last_position", last).withColumn("epochs", F.size("takes"))
+    return mixing.in_training_order(placed).select("doc_id", "size", "source_size", "target", "taken", "epochs", "position", "last_position")
 
 
 def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
