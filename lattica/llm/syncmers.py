@@ -2,8 +2,9 @@
 
 A k-mer of UTF-8 bytes is chosen if the least of its s-mers (by hash) stands at
 its first or last place. The choice looks at the k-mer alone, so equal passages
-choose equal anchors whatever surrounds them, and anchors carry positions for
-matching. The fingerprint keeps the least anchor hashes (a bottom sketch).
+choose equal anchors whatever surrounds them. The fingerprint keeps the least
+anchor hashes (a bottom sketch) with their positions: hashes tell how much two
+texts share, positions where, and by how far it was moved.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import partitions
+from lattica.llm.common import partitions, tidied
 
-K, S = 24, 12
+#: One rule for texts of any length; every 15 bytes or more hold an anchor (k + k - s - 1).
+K, S = 12, 8
 SKETCH = 64
-SHORT = 72
+#: Documents in an id range, and most ranges: their ends (8 bytes each) are held on the driver and sent with the tasks.
+PER_RANGE, MOST_RANGES = 4000, 20_000
 _PAD = bytes(16)
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,19 +51,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: bytes, k: int = K, s: int = S, short: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the closed syncmers; 8 <= s <= 16 and s < k <= 2s are needed.
 
-    ``short`` (None: texts under ``SHORT`` bytes) takes k = 4 and s = 3, where
-    every k-mer has its least s-mer at an edge. A text with no k-mer chosen has one anchor: the whole
-    text at 0. The empty text has none.
+    A text with no k-mer chosen (always under k + k - s - 1 bytes) has one
+    anchor: the whole text at 0. The empty text has none.
     """
     if not 8 <= s <= 16 or not s < k <= 2 * s:
         raise ValueError("needs 8 <= s <= 16 and s < k <= 2s")
     n = len(data) - k + 1
-    if len(data) >= 4 and (len(data) < SHORT if short is None else short):
-        x = np.frombuffer(data, np.uint8).astype(np.uint64)
-        return np.arange(len(x) - 3), _mix(x[:-3] | x[1:-2] << np.uint64(8) | x[2:-1] << np.uint64(16) | x[3:] << np.uint64(24))
     if n > 0:
         small = _grams(data + _PAD, len(data) - s + 1, s)
         width = k - s + 1
@@ -73,43 +73,58 @@ def anchors(data: bytes, k: int = K, s: int = S, short: bool | None = None) -> t
     return np.zeros(1, np.int64), np.array([whole], np.uint64)
 
 
-def sketch(data: bytes, k: int = K, s: int = S, size: int = SKETCH, short: bool | None = None) -> np.ndarray:
-    """The ``size`` least hashes of the anchors with their repeats, as rising unsigned 32-bit numbers.
+def sketch(data: bytes, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:
+    """The ``size`` least anchors, rising: the upper 32 bits of each number are a hash, the lower its position (modulo 2**32).
 
     The r-th occurrence of an anchor counts as an anchor of its own, so a text
     of repeated lines is weighed by its length, not by its few different lines.
     """
-    hashes = np.sort(anchors(data, k, s, short)[1])
-    if hashes.size > 1:
-        at = np.arange(hashes.size)
-        first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        again = at - np.maximum.accumulate(np.where(first, at, 0))
-        hashes = np.where(again > 0, _mix(hashes + again.astype(np.uint64)), hashes)
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:size]
-
-
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Share of the least hashes of both that both have: an estimate of the Jaccard index. Two empty ones: 1."""
+    at, hashes = anchors(data, k, s)
+    found = np.sort((hashes & _HIGH) | (at.astype(np.uint64) & _LOW))  # equal hashes by position
+    if found.size > 1:
+        key = found >> np.uint64(32)
+        place = np.arange(found.size)
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        again = place - np.maximum.accumulate(np.where(first, place, 0))
+        if not first.all():
+            found = np.where(again > 0, (_mix((key << np.uint64(32)) + again.astype(np.uint64)) & _HIGH) | (found & _LOW), found)
+            found = np.sort(found)
+            key = found >> np.uint64(32)
+            found = found[np.concatenate([[True], key[1:] != key[:-1]])]
+    return found[:size]
+
+
+def shared_anchors(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> tuple[np.ndarray, np.ndarray, int]:
+    """(positions in a, positions in b) of the anchors that both sketches have among the ``size`` least of their union, and the union's size."""
+    both = np.concatenate([a, b])
+    key = both >> np.uint64(32)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[:size]
+    twice = first[(first + 1 < key.size)]
+    twice = twice[key[twice] == key[np.minimum(twice + 1, key.size - 1)]]
+    return (both[order[twice]] & _LOW).astype(np.int64), (both[order[twice + 1]] & _LOW).astype(np.int64), first.size
+
+
+def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> tuple[float, float]:
+    """(share of the least hashes of both that both have, share of those that keep one distance): an estimate of the Jaccard index, and of how much stands in one place.
+
+    The distance is the commonest difference of positions. Two empty sketches
+    are alike (1, 1); without shared anchors both are 0.
+    """
     if not a.size and not b.size:
-        return 1.0
-    both = np.sort(np.concatenate([a, b]))
-    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))[:size]
-    shared = int(np.count_nonzero(both[:-1][first[first < both.size - 1]] == both[1:][first[first < both.size - 1]])) if both.size > 1 else 0
-    return shared / first.size
+        return 1.0, 1.0
+    at_a, at_b, union = shared_anchors(a, b, size)
+    if not at_a.size:
+        return 0.0, 0.0
+    return at_a.size / union, int(np.unique(at_a - at_b, return_counts=True)[1].max()) / at_a.size
 
 
-def pair_likeness(a: bytes, b: bytes, of_a: np.ndarray, of_b: np.ndarray, k: int = K, s: int = S, size: int = SKETCH) -> float:
-    """likeness() of two texts with sketches ``of_a`` and ``of_b``; if only one is short, the other is sketched anew at its k and s."""
-    if (len(a) < SHORT) != (len(b) < SHORT):
-        if len(a) < SHORT:
-            of_b = sketch(b, k, s, size, short=True)
-        else:
-            of_a = sketch(a, k, s, size, short=True)
-    return likeness(of_a, of_b, size)
+def _hex(x: np.ndarray) -> str:
+    return x.astype(">u8").tobytes().hex()
 
 
-def _hex(x: np.ndarray) -> str:
-    return x.astype(">u4").tobytes().hex()
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_place_edited double, in_place_next double"
 
 
 def edited_text(text: str, following: str) -> str:
@@ -118,22 +133,24 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, size: int = SKETCH, per_bucket: int = 4000) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, size: int = SKETCH, per_range: int = PER_RANGE) -> DataFrame:
     """Fingerprints of every text and its edited text, compared with the next document's.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. "Next" is by (doc_id, text), null ids first; after
-    the last comes the first. Null texts count as empty; a single document is
-    its own next; an empty table gives an empty one; further columns are left out.
+    near_edited, near_next, in_place_edited, in_place_next. "Next" is by
+    (doc_id, text), null ids first; after the last comes the first. Null texts
+    count as empty; a single document is its own next; an empty table gives an
+    empty one; further columns are left out.
 
     Texts move once: documents are dealt into id ranges, and the first document
     of a range goes to the range before it as well. The ranges' ends come from a
-    pass over ids only; rows that share an id share a range.
+    pass over ids only, at most ``MOST_RANGES``; rows that share an id share a
+    range, through which a task streams.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id")
     rows = ids.count()
-    parts = max(partitions(docs), -(-rows // per_bucket))
+    parts = max(partitions(docs), min(MOST_RANGES, -(-rows // per_range)))
     steps = [i / parts for i in range(1, parts)]
     cuts = sorted(set(ids.approxQuantile("doc_id", steps, 1 / (4 * parts)) if steps and rows else []))
     spark = docs.sparkSession
@@ -146,7 +163,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, size: int = S
     firsts = [(None if h.nulls else h["head"]) for h in heads]
     held = [h.b for h in heads]
     if not held:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return spark.createDataFrame([], _RESULT)
     before = {first: held[i - 1] for i, first in enumerate(firsts)}  # -1: the first document follows the last
     pairs = [(x is None, 0 if x is None else int(x), int(b)) for x, b in before.items()]
 
@@ -167,12 +184,13 @@ def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, size: int = S
 
         def close(doc, following) -> tuple:
             doc_id, text, own = doc
-            data = text.encode()
             edited = edited_text(text, following[1]).encode()
             other = sketch(edited, k, s, size)
-            return (doc_id, len(text), hashlib.sha256(edited).hexdigest(), _hex(own), _hex(other), pair_likeness(data, edited, own, other, k, s, size), pair_likeness(data, following[1].encode(), own, following[2], k, s, size))
+            near_edited, at_edited = likeness(own, other, size)
+            near_next, at_next = likeness(own, following[2], size)
+            return (doc_id, len(text), hashlib.sha256(edited).hexdigest(), _hex(own), _hex(other), near_edited, near_next, at_edited, at_next)
 
-        columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        columns = [c.split()[0] for c in _RESULT.split(", ")]
         for frame in batches:
             for doc_id, text, b, extra in zip(frame["doc_id"].astype("Int64"), frame["text"], frame["bucket"], frame["extra"], strict=True):
                 if b != last_bucket:
@@ -188,7 +206,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, size: int = S
                 done["doc_id"] = done["doc_id"].astype("Int64")
                 yield done
 
-    return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInPandas(tidied(run), _RESULT)
 
 
 def _bucket_of(ends: np.ndarray):

@@ -67,7 +67,7 @@ def test_op1(docs, none):
 
 def test_op2(docs, none):
     order = sorted(ROWS, key=lambda r: (r[0], r[1] or ""))
-    got = sorted(syncmers.fingerprint_documents(docs, per_bucket=5).collect(), key=lambda r: r.doc_id)
+    got = sorted(syncmers.fingerprint_documents(docs, per_range=5).collect(), key=lambda r: r.doc_id)
     for i, (row, r) in enumerate(zip(order, got, strict=True)):
         edited = syncmers.edited_text(row[1] or "", order[(i + 1) % len(order)][1] or "")
         assert (r.n_chars, r.edited_sha256) == (len(row[1] or ""), hashlib.sha256(edited.encode()).hexdigest())
