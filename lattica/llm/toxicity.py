@@ -2,11 +2,11 @@
 
 A bounded sample of labelled documents is indexed: terms are character strings
 of words that tell the labels apart, weights are TF-IDF with document
-frequencies over all documents. A block-max inverted index keeps, for each term
-and block of examples, the largest weight; a query opens blocks by falling
-upper bound and stops when no bound can beat its k-th neighbour, so the
-neighbours are exact. Distance-weighted votes are calibrated on labelled
-documents that the index has not seen.
+frequencies over all documents. A block-max inverted index keeps posting lists
+in blocks of examples and, for each term and block that holds it, the largest
+weight; a query opens blocks by falling upper bound and stops when no bound can
+beat its k-th neighbour, so the neighbours are exact. Distance-weighted votes
+are calibrated on the examples themselves, each judged by its neighbours but itself.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most examples of each label in the index, and most of each for calibration.
-EXAMPLES, CALIBRATION = 2000, 1000
-#: Most terms, the least chi-square a term needs, and the lengths of character strings (a word's start counts as one).
-TERMS, LEAST_CHI2, GRAMS = 1024, 30.0, (4, 5, 6)
-NEIGHBOURS, BLOCK = 25, 64
+from lattica.llm.common import checkpoint, tidied
+
+#: Most examples of each label; terms, votes and calibration come from these alone.
+EXAMPLES = 3000
+#: Lengths of character strings (a word's start counts as one); whole words are taken too.
+GRAMS = (3, 4, 5, 6, 7, 8)
+NEIGHBOURS, BLOCK = 10, 64
 THRESHOLD = 0.7
 _OTHER = re.compile(r"[\W_]+")
 
@@ -49,24 +51,59 @@ def grams(text: str | None) -> set[str]:
 
 @dataclass
 class Index:
-    """Terms, their idf, the examples and the block-max lists; plain arrays, small enough to ship with a task."""
+    """Terms, their idf, the examples and the block-max lists; plain arrays, small enough to ship with a task.
+
+    Block b holds the places from b * ``BLOCK`` on. Its terms are
+    block_terms[block_at[b]:block_at[b + 1]], rising; entry e of these has the
+    postings from posting_at[e] to posting_at[e + 1]. Term t has the maxima
+    from max_at[t] to max_at[t + 1]: max_block and max_weight.
+    """
 
     terms: list[str]
     idf: np.ndarray
-    vectors: np.ndarray  # blocks x BLOCK x terms: unit TF-IDF vectors, zero rows to fill up
-    block_max: np.ndarray  # terms x blocks
+    block_at: np.ndarray
+    block_terms: np.ndarray
+    posting_at: np.ndarray
+    places: np.ndarray
+    posting_weights: np.ndarray
+    max_at: np.ndarray
+    max_block: np.ndarray
+    max_weight: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     ids: np.ndarray
-    none_rate: float  # share of toxic ones among examples without any term
+    none_toxic: float  # weight of toxic ones among examples without any term, of all of these, and the share of toxic ones overall
+    none_all: float
+    prior: float
     steps: tuple[np.ndarray, np.ndarray]  # calibration: raw votes, scores
 
-    def automaton(self):
-        found = ahocorasick.Automaton()
-        for i, t in enumerate(self.terms):
-            found.add_word(t, i)
-        found.make_automaton()
-        return found
+    @property
+    def blocks(self) -> int:
+        return len(self.block_at) - 1
+
+    def none_rate(self, toxic: float = 0.0, weight: float = 0.0) -> float:
+        """The share of toxic ones among termless examples, less one of ``weight``, drawn to the overall share by one example."""
+        return (self.none_toxic - toxic * weight + self.prior) / (self.none_all - weight + 1)
+
+
+def build_lists(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK) -> dict[str, np.ndarray]:
+    """The posting lists and maxima of Index for examples given as (terms, weights), in their places."""
+    size = [len(at) for at, _ in vectors]
+    place = np.repeat(np.arange(len(vectors)), size)
+    term = np.concatenate([at for at, _ in vectors]) if vectors else np.empty(0, np.int64)
+    weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+    blocks = -(-len(vectors) // block)
+    order = np.lexsort((place, term, place // block))
+    place, term, weight = place[order], term[order].astype(np.int64), weight[order]
+    key = (place // block) * max(1, terms) + term
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if key.size else np.empty(0, np.int64)
+    top = np.maximum.reduceat(weight, first) if first.size else np.empty(0)
+    in_block, of_term = (key[first] // max(1, terms), term[first]) if first.size else (np.empty(0, np.int64), np.empty(0, np.int64))
+    by_term = np.lexsort((in_block, of_term))
+    return {
+        "block_at": np.searchsorted(in_block, np.arange(blocks + 1)), "block_terms": of_term, "posting_at": np.append(first, len(place)), "places": place, "posting_weights": weight,
+        "max_at": np.searchsorted(of_term[by_term], np.arange(terms + 1)), "max_block": in_block[by_term], "max_weight": top[by_term],
+    }
 
 
 def _vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,15 +112,30 @@ def _vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, w / np.sqrt((w * w).sum())
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., last[0] - 1, first[1], ..."""
+    n = last - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def nearest(index: Index, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
     """(places, cosines) of the k examples of greatest positive cosine, exact; ties go to the lower place."""
-    bounds = w @ index.block_max[at]
+    lo, hi = index.max_at[at], index.max_at[at + 1]
+    entry = _ranges(lo, hi)
+    bounds = np.bincount(index.max_block[entry], np.repeat(w, hi - lo) * index.max_weight[entry], index.blocks)
     order = np.argsort(-bounds, kind="stable")
     places, cosines, kth = np.empty(0, np.int64), np.empty(0), 0.0
     for b in order.tolist():
         if bounds[b] <= 0 or (len(places) >= k and bounds[b] < kth - 1e-12):
             break
-        sims = index.vectors[b][:, at] @ w
+        base = index.block_at[b]
+        own = index.block_terms[base : index.block_at[b + 1]]
+        met = np.minimum(np.searchsorted(own, at), len(own) - 1)
+        has = own[met] == at
+        e = base + met[has]
+        lo, hi = index.posting_at[e], index.posting_at[e + 1]
+        posting = _ranges(lo, hi)
+        sims = np.bincount(index.places[posting] - b * BLOCK, np.repeat(w[has], hi - lo) * index.posting_weights[posting])
         hit = np.flatnonzero(sims > 0)
         places, cosines = np.concatenate([places, hit + b * BLOCK]), np.concatenate([cosines, sims[hit]])
         if len(places) > k:
@@ -95,13 +147,19 @@ def nearest(index: Index, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) ->
     return places[top], cosines[top]
 
 
-def raw_vote(index: Index, counts: Counter) -> tuple[float, np.ndarray]:
-    """The distance-weighted share of toxic neighbours, and their places; without neighbours the share among termless examples."""
+def raw_vote(index: Index, counts: Counter, but: int | None = None, k: int = NEIGHBOURS) -> tuple[float, np.ndarray]:
+    """The distance-weighted share of toxic neighbours, and their places; without neighbours the share among termless examples.
+
+    ``but`` leaves out one place: an example that is judged by the others.
+    """
     if not counts:
-        return index.none_rate, np.empty(0, np.int64)
-    places, cosines = nearest(index, *_vector(counts, index.idf))
+        return index.none_rate(), np.empty(0, np.int64)
+    places, cosines = nearest(index, *_vector(counts, index.idf), k=k if but is None else k + 1)
+    if but is not None:
+        others = np.flatnonzero(places != but)[:k]
+        places, cosines = places[others], cosines[others]
     if not places.size:
-        return index.none_rate, places
+        return index.none_rate(), places
     vote = index.weights[places] / (1.05 - np.minimum(cosines, 1.0))
     return float((vote * index.labels[places]).sum() / vote.sum()), places
 
@@ -130,18 +188,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _samples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, use ('index' or 'calibrate'), weight: bounded samples of the training labels, by hash order."""
+    """doc_id, toxic, weight, text: a bounded sample of the training labels by hash order, one text (the least) for each."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id"))
     parts = []
     for toxic in (0, 1):
         own = known.filter(F.col("toxic") == toxic)
         count = own.count()
-        most = EXAMPLES + CALIBRATION
-        # the sample is the `most` least hashes: at most 3,000 rows reach the driver
-        top = own.orderBy("h", "doc_id").limit(most).collect()
-        cut = len(top) * EXAMPLES // most
-        parts += [(r.doc_id, toxic, "index" if i < cut else "calibrate", count / len(top)) for i, r in enumerate(sorted(top, key=lambda r: (r.h, r.doc_id)))]
-    return docs.sparkSession.createDataFrame(parts, "s_id long, toxic int, use string, weight double")
+        top = own.orderBy("h", "doc_id").limit(EXAMPLES).collect()
+        parts += [(r.doc_id, toxic, count / len(top)) for r in top]
+    sample = docs.sparkSession.createDataFrame(parts, "s_id long, toxic int, weight double")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))  # at most twice EXAMPLES rows
+    return checkpoint(drawn.groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text")))
 
 
 def _counter(terms: list[str]):
@@ -158,15 +215,16 @@ def _counter(terms: list[str]):
     return count
 
 
-def fit_index(docs: DataFrame, labels: DataFrame) -> Index:
-    """Choose terms on the index sample, count them over all documents, index the sample, calibrate on the rest.
+def choose_terms(sample: DataFrame) -> list[str]:
+    """The character strings whose chi-square between the labels exceeds what chance gives the best of as many strings.
 
-    Only rows with crc32(doc_id) mod 3 other than 1 lend their labels. What
-    reaches the driver is bounded by the sample and the number of terms: terms'
-    counts by label, their document frequencies, and the sample's term counts.
+    Of M strings without any bearing on the label the greatest chi-square is
+    about 2 ln M; the limit follows the sample, whatever its size.
     """
-    sample = _samples(docs, labels)
-    drawn = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))  # at most 6,000 rows
+    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return []
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -177,19 +235,26 @@ def fit_index(docs: DataFrame, labels: DataFrame) -> Index:
             if c:
                 yield pd.DataFrame({"term": list(c), "toxic": toxic, "n": list(c.values())})
 
-    chosen_from = drawn.filter("use = 'index'")
-    sizes = {r.toxic: r["count"] for r in sample.filter("use = 'index'").groupBy("toxic").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    terms: list[str] = []
-    if n0 and n1:
-        a, b = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
-        per_term = chosen_from.mapInPandas(features, "term string, toxic int, n long").groupBy("term").agg(a.alias("a"), b.alias("b")).filter("a + b >= 5")
-        expected = (F.col("a") + F.col("b")) * (n1 / (n0 + n1))
-        rest = (n0 + n1) - (F.col("a") + F.col("b"))
-        expected_rest = rest * (n1 / (n0 + n1))
-        chi2 = (F.col("a") - expected) ** 2 * (1 / expected + 1 / F.greatest(expected_rest, F.lit(1e-9))) * ((n0 + n1) / n0)
-        top = per_term.withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-        terms = sorted(r.term for r in top)
+    a, b = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
+    per_term = sample.select("text", "toxic").mapInPandas(tidied(features), "term string, toxic int, n long").groupBy("term").agg(a.alias("a"), b.alias("b"))
+    expected = (F.col("a") + F.col("b")) * (n1 / (n0 + n1))
+    rest = (n0 + n1) - (F.col("a") + F.col("b"))
+    expected_rest = rest * (n1 / (n0 + n1))
+    chi2 = (F.col("a") - expected) ** 2 * (1 / expected + 1 / F.greatest(expected_rest, F.lit(1e-9))) * ((n0 + n1) / n0)
+    judged = checkpoint(per_term.select("term", chi2.alias("chi2")))  # the strings of the sample
+    least = 2 * np.log(max(2, judged.count()))
+    return sorted(r.term for r in judged.filter(F.col("chi2") >= float(least)).collect())
+
+
+def fit_index(docs: DataFrame, labels: DataFrame) -> Index:
+    """Choose terms on the sample, count them over all documents, index the sample, calibrate on it.
+
+    Only rows with crc32(doc_id) mod 3 other than 1 lend their labels. What
+    reaches the driver is bounded by the sample: the terms that tell its labels
+    apart, their document frequencies, its term counts and votes.
+    """
+    sample = _samples(docs, labels)
+    terms = choose_terms(sample)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, total, rows = _counter(terms), Counter(), 0
@@ -199,7 +264,7 @@ def fit_index(docs: DataFrame, labels: DataFrame) -> Index:
                 total.update(count(text).keys())
         yield pd.DataFrame({"t": [-1, *total], "n": [rows, *total.values()]})
 
-    df = {int(r.t): int(r.n) for r in docs.select("text").mapInPandas(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    df = {int(r.t): int(r.n) for r in docs.select("text").mapInPandas(tidied(frequencies), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     n_docs = max(1, df.get(-1, 0))
     idf = np.array([np.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
 
@@ -207,50 +272,67 @@ def fit_index(docs: DataFrame, labels: DataFrame) -> Index:
         count = _counter(terms)
         for frame in batches:
             got = [count(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "use": frame["use"], "weight": frame["weight"], "t": [list(c) for c in got], "n": [list(c.values()) for c in got]})
-
-    rows = drawn.mapInPandas(counted, "doc_id long, toxic int, use string, weight double, t array<int>, n array<int>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, list(r.t), list(r.n)))
-    examples = [r for r in rows if r.use == "index"]
-    bare = [r for r in examples if not r.t]
-    none_weight = sum(r.weight for r in bare)
-    all_weight = sum(r.weight for r in examples)
-    prior = sum(r.weight * r.toxic for r in examples) / all_weight if all_weight else 0.0
-    none_rate = (sum(r.weight * r.toxic for r in bare) + prior) / (none_weight + 1) if none_weight else prior
-    kept = [r for r in examples if r.t]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "weight": frame["weight"], "t": [list(c) for c in got], "n": [list(c.values()) for c in got]})
+
+    rows = sample.mapInPandas(counted, "doc_id long, toxic int, weight double, t array<int>, n array<int>").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.toxic))
+    bare, kept = [r for r in rows if not r.t], [r for r in rows if r.t]
+    total = sum(r.weight for r in rows)
     # neighbours in one block resemble each other, so that bounds are tight: order by label and heaviest term
-    vectors = [_vector(Counter(dict(zip(r.t, r.n, strict=True))), idf) for r in kept]
+    counts = [Counter(dict(zip(r.t, r.n, strict=True))) for r in kept]
+    vectors = [_vector(c, idf) for c in counts]
     order = sorted(range(len(kept)), key=lambda i: (kept[i].toxic, int(vectors[i][0][vectors[i][1].argmax()]), kept[i].doc_id))
-    blocks = max(1, -(-len(order) // BLOCK))
-    dense = np.zeros((blocks * BLOCK, max(1, len(terms))))
-    for place, i in enumerate(order):
-        dense[place, vectors[i][0]] = vectors[i][1]
-    dense = dense.reshape(blocks, BLOCK, -1)
-    pad = blocks * BLOCK - len(order)
     index = Index(
-        terms, idf, dense, np.ascontiguousarray(dense.max(axis=1).T),
-        np.array([kept[i].toxic for i in order] + [0] * pad, dtype=np.float64), np.array([kept[i].weight for i in order] + [0.0] * pad), np.array([kept[i].doc_id for i in order] + [-1] * pad), none_rate, (np.empty(0), np.empty(0)),
+        terms=terms, idf=idf, **build_lists([vectors[i] for i in order], len(terms)),
+        labels=np.array([kept[i].toxic for i in order], dtype=np.float64), weights=np.array([kept[i].weight for i in order]), ids=np.array([kept[i].doc_id for i in order], dtype=np.int64),
+        none_toxic=sum(r.weight * r.toxic for r in bare), none_all=sum(r.weight for r in bare),
+        prior=sum(r.weight * r.toxic for r in rows) / total if total else 0.0, steps=(np.empty(0), np.empty(0)),
     )
-    fresh = [r for r in rows if r.use == "calibrate"]
-    if {r.toxic for r in fresh} == {0, 1}:
-        raw = np.array([raw_vote(index, Counter(dict(zip(r.t, r.n, strict=True))))[0] for r in fresh])
-        index.steps = isotonic(raw, np.array([float(r.toxic) for r in fresh]), np.array([r.weight for r in fresh]))
+    if {r.toxic for r in rows} == {0, 1}:
+        raw = np.array([*votes_of_examples(docs, index, [counts[i] for i in order]), *[index.none_rate(r.toxic, r.weight) for r in bare]])
+        judged = [*[kept[i] for i in order], *bare]
+        index.steps = isotonic(raw, np.array([float(r.toxic) for r in judged]), np.array([r.weight for r in judged]))
     return index
 
 
+def votes_of_examples(docs: DataFrame, index: Index, counts: list[Counter]) -> list[float]:
+    """The vote of each indexed example by its neighbours but itself, in the order of places; dealt to the executors."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(index)  # bounded by EXAMPLES
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            votes = [raw_vote(shared.value, Counter(dict(zip(t, n, strict=True))), int(p))[0] for p, t, n in zip(frame["place"], frame["t"], frame["n"], strict=True)]
+            yield pd.DataFrame({"place": frame["place"], "vote": votes})
+
+    rows = [(p, list(c), list(c.values())) for p, c in enumerate(counts)]
+    asked = spark.createDataFrame(rows, "place int, t array<int>, n array<int>").repartition(32, "place")
+    return [r.vote for r in sorted(asked.mapInPandas(judge, "place int, vote double").collect(), key=lambda r: r.place)]
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Add held_out, score (0 to 1), predicted (1 at ``THRESHOLD`` or more) and evidence (doc_ids of the five nearest examples).
 
     Only the text is an input of a score. Null and empty texts, and texts
     without any term, get the rate of the examples without terms. Without usable
     labels every score is 0; with one class only, that class's rate. Labels
-    that repeat for a doc_id count as toxic if one does. Rows repeat as given,
-    further columns pass through, an empty table stays empty.
+    that repeat for a doc_id count as toxic if one does; of texts that repeat
+    for one the least is its example. Rows repeat as given, further columns pass
+    through, an empty table stays empty.
     """
     if clash := {"held_out", "score", "predicted", "evidence"} & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    scored = _scored(docs, labels)
+    return scored.select(
+        *docs.columns, held_out(F.col("doc_id")).alias("held_out"), F.col("__x.score").alias("score"),
+        (F.col("__x.score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__x.evidence").alias("evidence"),
+    )
+
+
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with __x: score and evidence."""
     index = fit_index(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES
 
     @F.pandas_udf("struct<score:double,evidence:array<long>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -272,13 +354,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 evidence.append(e)
             yield pd.DataFrame({"score": scores, "evidence": evidence})
 
-    scored = docs.withColumn("__x", score("text"))
-    return scored.select(
-        *docs.columns, held_out(F.col("doc_id")).alias("held_out"), F.col("__x.score").alias("score"),
-        (F.col("__x.score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__x.evidence").alias("evidence"),
-    )
+    return docs.withColumn("__x", score("text"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The columns of ``docs`` for the rows not predicted toxic."""
-    return score_toxicity(docs, labels).filter("predicted = 0").select(*docs.columns)
+    """The columns of ``docs``, whatever their names, for the rows not predicted toxic.
+
+    Scored as by score_toxicity(): null and empty texts stay unless termless
+    examples are mostly toxic; repeated rows are judged alike.
+    """
+    return _scored(docs, labels).filter(F.col("__x.score") < THRESHOLD).select(*docs.columns)

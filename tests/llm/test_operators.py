@@ -155,18 +155,6 @@ def test_op6(spark, none):
     assert {r.score for r in unlabelled} == {0.0} and toxicity.keep_clean(none, labels).count() == 0
 
 
-def test_block_max_is_exact():
-    idf = np.ones(12)
-    dense = RNG.random((4, toxicity.BLOCK, 12)) * (RNG.random((4, toxicity.BLOCK, 12)) < 0.3)
-    dense /= np.maximum(np.sqrt((dense**2).sum(axis=2, keepdims=True)), 1e-9)
-    index = toxicity.Index([], idf, dense, np.ascontiguousarray(dense.max(axis=1).T), np.zeros(256), np.ones(256), np.arange(256), 0.0, (np.empty(0), np.empty(0)))
-    for _ in range(20):
-        at = np.sort(RNG.choice(12, 4, replace=False))
-        w = RNG.random(4)
-        sims = dense.reshape(256, 12)[:, at] @ w
-        assert toxicity.nearest(index, at, w, 10)[1] == pytest.approx(np.sort(sims[sims > 0])[::-1][:10])
-
-
 def test_op7(spark):
     page = """<html><head><title>no</title><style>x{}</style><body><p>one<p>two &amp; <b>three</b><ul><li>a<li>b<ol><li>c</ol></ul>
     <div hidden>no</div><span style="display: none">no</span><table><tr><th>k<th>value<tr><td>long key<td>1</table>t<br>u<script>"</p>"</script><pre> x
