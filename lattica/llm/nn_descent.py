@@ -5,7 +5,9 @@ comparing, at every node, its neighbours with each other. Lists full of links
 are saturated: they are enlarged by the nearest vectors outside the node's
 component, until no further link joins two components. Links are then counted on
 whole components, block against block. A brute-force audit measures recall, and
-edges at or above the threshold are kept. Cosines that decide are in double precision.
+edges at or above the threshold are kept. Cosines that decide are in double
+precision; next to the threshold they are summed pair by pair in one order, so a
+pair is a link or not wherever it is met.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from lattica.llm.simhash import _forest as spanning_labels
 THRESHOLD, NEIGHBOURS = 0.95, 12
 #: Projection orders at the start, refinement rounds, vectors compared at once.
 TREES, ROUNDS, BLOCK = 4, 2, 256
+#: Of a node's neighbours, each is offered so many of the others on either side; what is left out shows in the audit.
+OFFERS = 4
 #: Members of a component compared at once when its links are counted.
 CHUNK = 1024
 #: Members of a component that look for others in the projection orders, and how often components may be joined.
@@ -34,6 +38,8 @@ AUDIT, MOST_AUDIT, WANTED, LARGE = 1000, 8000, 50, 64
 LEAST_RECALL, RETRIES = 0.97, 2
 #: One more projection order for each doubling of the vectors beyond this.
 DOUBLED = 4096
+#: Cosines from matrix products this near the threshold are computed again.
+NEAR = 1e-9
 
 
 #: Columns of a neighbour graph; own: both ends lie in one component.
@@ -75,8 +81,21 @@ def _top(sims: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[rows], "b": ids[best.ravel()], "sim": sims[rows, best.ravel()]})
 
 
-def _sides(sims: np.ndarray, ids: np.ndarray, roots: np.ndarray, k: int) -> pd.DataFrame:
+def decided(sims: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """``sims`` (rows of x by rows of y), with those next to the threshold moved off it to the side of their exact sum.
+
+    Matrix products differ in the last digits with the shape of the block; a
+    sum over one pair does not.
+    """
+    i, j = np.nonzero(np.abs(sims - threshold) < NEAR)
+    if i.size:
+        sims[i, j] = np.where((x[i] * y[j]).sum(axis=1) >= threshold, threshold + NEAR, threshold - NEAR)
+    return sims
+
+
+def _sides(x: np.ndarray, ids: np.ndarray, roots: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
     """The k greatest of each row outside its component and the k greatest inside (own): a, b, sim, own."""
+    sims = decided(x @ x.T, x, x, threshold)
     same = roots[:, None] == roots[None, :]
     inside = _top(np.where(same, sims, -2.0), ids, k).assign(own=True)
     outside = _top(np.where(same, -2.0, sims), ids, k).assign(own=False)
@@ -84,11 +103,13 @@ def _sides(sims: np.ndarray, ids: np.ndarray, roots: np.ndarray, k: int) -> pd.D
     return both[both["sim"] > -2.0]
 
 
-def start_graph(classes: DataFrame, k: int, seed: int) -> DataFrame:
+def start_graph(classes: DataFrame, k: int, seed: int, threshold: float, rows: int) -> DataFrame:
     """Neighbours within blocks of vectors that lie next to each other in the order of random hyperplane codes.
 
     A block is ``BLOCK`` rows whatever the codes' skew, so many near copies fill
-    several blocks instead of one large one.
+    several blocks instead of one large one; it begins with the last quarter of
+    the one before. A range of the order holds several blocks at least, and few
+    rows are one block.
     """
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,15 +124,22 @@ def start_graph(classes: DataFrame, k: int, seed: int) -> DataFrame:
 
     coded = classes.select("cid", "root", "v").mapInPandas(code, "cid long, root long, v array<double>, dim int, code int, fine double")
     order = [F.col(c) for c in ("dim", "code", "fine", "cid")]
-    dealt = coded.repartitionByRange(partitions(classes), *order).sortWithinPartitions(*order)
+    ranges = max(1, min(partitions(classes), rows // (8 * BLOCK)))
+    dealt = (coded.repartitionByRange(ranges, *order) if ranges > 1 else coded.coalesce(1)).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for frame in batches:
-            for _, part in frame.groupby("dim"):
-                for at in range(0, len(part), BLOCK):
-                    block = part.iloc[at : at + BLOCK]
-                    x = _matrix(block["v"])
-                    yield _sides(x @ x.T, block["cid"].to_numpy(), block["root"].to_numpy(), k)
+            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            while len(rest) > BLOCK:
+                yield from block_edges(rest.iloc[:BLOCK])
+                rest = rest.iloc[BLOCK - BLOCK // 4 :]
+        if rest is not None and len(rest):
+            yield from block_edges(rest)
+
+    def block_edges(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in block.groupby("dim"):
+            yield _sides(_matrix(part["v"]), part["cid"].to_numpy(), part["root"].to_numpy(), k, threshold)
 
     return dealt.mapInPandas(compare, EDGES).withColumn("sim", F.round("sim", 12))
 
@@ -122,7 +150,7 @@ def keep_nearest(edges: DataFrame, k: int) -> DataFrame:
     return edges.distinct().withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k).drop("r")
 
 
-def refine(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def refine(graph: DataFrame, classes: DataFrame, k: int, threshold: float) -> DataFrame:
     """One round: at every node its neighbours, forward and backward, are compared with each other.
 
     Backward lists hold the k nearest that name the node, so a hub costs no more
@@ -139,8 +167,7 @@ def refine(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
                 ids = frame["b"].to_numpy()[lo:hi]
                 if hi - lo < 2:
                     continue
-                x = _matrix(frame["v"].iloc[lo:hi])
-                out.append(_sides(x @ x.T, ids, frame["root"].to_numpy()[lo:hi], min(k, 4)))
+                out.append(_sides(_matrix(frame["v"].iloc[lo:hi]), ids, frame["root"].to_numpy()[lo:hi], min(k, OFFERS), threshold))
             if out:
                 merged = pd.concat(out)
                 merged = merged.drop_duplicates(["a", "b"]).sort_values(["a", "sim"], ascending=[True, False])
@@ -172,11 +199,12 @@ def enlarge(graph: DataFrame, classes: DataFrame, k: int, threshold: float, seed
         sided = graph.join(root_of("a"), "a").join(root_of("b"), "b").select("a", "b", "sim", (F.col("root_a") == F.col("root_b")).alias("own"))
         rank = Window.partitionBy("root").orderBy(F.xxhash64("cid", F.lit(seed + step)), "cid")
         envoys = checkpoint(placed.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= ENVOYS).drop("r"))
+        many = envoys.count()
         for t in range(TREES):
-            sided = sided.unionAll(start_graph(envoys, k, seed + 100 * (step + 1) + t))
+            sided = sided.unionAll(start_graph(envoys, k, seed + 100 * (step + 1) + t, threshold, many))
         graph = checkpoint(keep_nearest(sided, k))
         for _ in range(ROUNDS):
-            graph = checkpoint(refine(graph, placed, k))
+            graph = checkpoint(refine(graph, placed, k, threshold))
         crossing = checkpoint(graph.filter(~F.col("own") & (F.col("sim") >= threshold)).select("a", "b"))
         if crossing.isEmpty():
             break
@@ -209,8 +237,8 @@ def _whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.Data
 def count_links(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """cid, links: vectors of its component (copies counted) at or above the threshold, itself included.
 
-    Components are dealt in chunks of similar members, each with its centre and
-    the largest angle to it. Two chunks that the triangle inequality settles
+    Components are dealt in chunks of members, each with its centre and the
+    largest angle to it. Two chunks that the triangle inequality settles
     need no comparison; others are compared as blocks, which give counts per
     vector and never a row per pair.
     """
@@ -254,7 +282,7 @@ def count_links(classes: DataFrame, groups: DataFrame, threshold: float) -> Data
             for ids, l_x, copies, r_x in zip(frame["l_ids"], frame["l_x"], frame["copies"], frame["r_x"], strict=True):
                 a, b = np.frombuffer(l_x).reshape(len(ids), -1), np.frombuffer(r_x).reshape(len(copies), -1)
                 if a.shape[1] == b.shape[1]:
-                    yield pd.DataFrame({"cid": np.asarray(ids), "n": (a @ b.T >= threshold) @ np.asarray(copies)})
+                    yield pd.DataFrame({"cid": np.asarray(ids), "n": (decided(a @ b.T, a, b, threshold) >= threshold) @ np.asarray(copies)})
 
     counted = blocks.select("l_ids", "l_x", "copies", "r_x").repartition(partitions(classes)).mapInPandas(compare, "cid long, n long")
     return whole.unionAll(counted).groupBy("cid").agg(F.sum("n").alias("links"))
@@ -283,7 +311,8 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int =
                         ids, q = dims[int(dim)]
                         for at in range(0, len(part), CHUNK):
                             some = part.iloc[at : at + CHUNK]
-                            yield pd.DataFrame({"q": ids, "n": (q @ _matrix(some["v"]).T >= threshold) @ some["copies"].to_numpy()})
+                            x = _matrix(some["v"])
+                            yield pd.DataFrame({"q": ids, "n": (decided(q @ x.T, q, x, threshold) >= threshold) @ some["copies"].to_numpy()})
 
         truth = classes.mapInPandas(brute, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
         found = truth.join(links, truth.q == links.cid, "left").join(classes.select(F.col("cid").alias("c"), "copies"), F.col("q") == F.col("c"))
@@ -321,7 +350,8 @@ def every_link(classes: DataFrame, threshold: float) -> DataFrame:
         for frame in batches:
             for l_ids, l_x, ids, x in zip(frame["l_ids"], frame["l_x"], frame["ids"], frame["x"], strict=True):
                 left, right = np.asarray(l_ids), np.asarray(ids)
-                i, j = np.nonzero(np.frombuffer(l_x).reshape(len(left), -1) @ np.frombuffer(x).reshape(len(right), -1).T >= threshold)
+                p, q = np.frombuffer(l_x).reshape(len(left), -1), np.frombuffer(x).reshape(len(right), -1)
+                i, j = np.nonzero(decided(p @ q.T, p, q, threshold) >= threshold)
                 nodes, at = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
                 label = spanning_labels(len(nodes), iter([(at[: len(i)], at[len(i) :])]))
                 own = np.flatnonzero(label != np.arange(len(label)))
@@ -347,16 +377,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     names = keyed.groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     classes = checkpoint(number_rows(checkpoint(names), ["key"], "cid").withColumn("root", F.col("cid")))
     graph = None
-    trees = TREES + max(0, math.ceil(math.log2(max(1, classes.count()) / DOUBLED)))
+    rows = classes.count()
+    trees = TREES + max(0, math.ceil(math.log2(max(1, rows) / DOUBLED)))
     for trial in range(RETRIES + 1):
-        starts = [start_graph(classes, k, 1000 * trial + t) for t in range(trees)]
+        starts = [start_graph(classes, k, 1000 * trial + t, threshold, rows) for t in range(trees)]
         offered = starts[0]
         for s in starts[1:]:
             offered = offered.unionAll(s)
         graph = checkpoint(keep_nearest(offered if graph is None else offered.unionAll(graph), k))
         for _ in range(ROUNDS):
-            graph = checkpoint(refine(graph, classes, k))
-        # a shade below the threshold here; count_links() decides in double precision on whole components
+            graph = checkpoint(refine(graph, classes, k, threshold))
         groups = enlarge(graph, classes, k, threshold, 1000 * trial + 500)
         links = checkpoint(count_links(classes, groups, threshold))
         recall = audit(classes, links, threshold)
