@@ -29,13 +29,22 @@ EXAMPLES = 3000
 #: Lengths of character strings (a word's start counts as one); whole words are taken too.
 GRAMS = (3, 4, 5, 6, 7, 8)
 NEIGHBOURS, BLOCK = 10, 64
+#: Blocks opened first.
+FIRST = 4
 THRESHOLD = 0.7
 _OTHER = re.compile(r"[\W_]+")
 
 
 def normalized(text: str | None) -> str:
-    """Lower case, words parted by one space, a space at either end."""
-    return f" {_OTHER.sub(' ', (text or '').lower()).strip()} "
+    """Lower case, words (runs of letters and digits) parted by one space, a space at either end."""
+    low = (text or "").lower()
+    odd = [c for c in set(low) if c != " " and not c.isalnum()]
+    if len(odd) > 64:
+        low = _OTHER.sub(" ", low)
+    else:
+        for c in odd:
+            low = low.replace(c, " ")
+    return f" {' '.join(low.split())} "
 
 
 def grams(text: str | None) -> set[str]:
@@ -53,22 +62,20 @@ def grams(text: str | None) -> set[str]:
 class Index:
     """Terms, their idf, the examples and the block-max lists; plain arrays, small enough to ship with a task.
 
-    Block b holds the places from b * ``BLOCK`` on. Its terms are
-    block_terms[block_at[b]:block_at[b + 1]], rising; entry e of these has the
-    postings from posting_at[e] to posting_at[e + 1]. Term t has the maxima
-    from max_at[t] to max_at[t + 1]: max_block and max_weight.
+    Block b holds the places from b * ``BLOCK`` on. Term t has the entries from
+    entry_at[t] to entry_at[t + 1], one for each block that holds it: the
+    block, its largest weight there, and the postings from posting_at[e] to
+    posting_at[e + 1].
     """
 
     terms: list[str]
     idf: np.ndarray
-    block_at: np.ndarray
-    block_terms: np.ndarray
+    entry_at: np.ndarray
+    entry_block: np.ndarray
+    entry_most: np.ndarray
     posting_at: np.ndarray
     places: np.ndarray
     posting_weights: np.ndarray
-    max_at: np.ndarray
-    max_block: np.ndarray
-    max_weight: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     ids: np.ndarray
@@ -79,7 +86,7 @@ class Index:
 
     @property
     def blocks(self) -> int:
-        return len(self.block_at) - 1
+        return -(-len(self.labels) // BLOCK)
 
     def none_rate(self, toxic: float = 0.0, weight: float = 0.0) -> float:
         """The share of toxic ones among termless examples, less one of ``weight``, drawn to the overall share by one example."""
@@ -87,22 +94,17 @@ class Index:
 
 
 def build_lists(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK) -> dict[str, np.ndarray]:
-    """The posting lists and maxima of Index for examples given as (terms, weights), in their places."""
-    size = [len(at) for at, _ in vectors]
-    place = np.repeat(np.arange(len(vectors)), size)
-    term = np.concatenate([at for at, _ in vectors]) if vectors else np.empty(0, np.int64)
-    weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
-    blocks = -(-len(vectors) // block)
-    order = np.lexsort((place, term, place // block))
-    place, term, weight = place[order], term[order].astype(np.int64), weight[order]
-    key = (place // block) * max(1, terms) + term
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if key.size else np.empty(0, np.int64)
-    top = np.maximum.reduceat(weight, first) if first.size else np.empty(0)
-    in_block, of_term = (key[first] // max(1, terms), term[first]) if first.size else (np.empty(0, np.int64), np.empty(0, np.int64))
-    by_term = np.lexsort((in_block, of_term))
+    """The posting lists of Index for examples given as (terms, weights), in their places."""
+    place = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors]).astype(np.int64)
+    term = np.concatenate([np.asarray(at, np.int64) for at, _ in vectors] or [np.empty(0, np.int64)])
+    weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
+    order = np.lexsort((place, term))
+    place, term, weight = place[order], term[order], weight[order]
+    of_block = place // block
+    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (of_block[1:] != of_block[:-1])])) if place.size else np.empty(0, np.int64)
     return {
-        "block_at": np.searchsorted(in_block, np.arange(blocks + 1)), "block_terms": of_term, "posting_at": np.append(first, len(place)), "places": place, "posting_weights": weight,
-        "max_at": np.searchsorted(of_term[by_term], np.arange(terms + 1)), "max_block": in_block[by_term], "max_weight": top[by_term],
+        "entry_at": np.searchsorted(term[first], np.arange(terms + 1)), "entry_block": of_block[first], "entry_most": np.maximum.reduceat(weight, first) if first.size else np.empty(0),
+        "posting_at": np.append(first, len(place)), "places": place, "posting_weights": weight,
     }
 
 
@@ -119,32 +121,42 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def nearest(index: Index, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """(places, cosines) of the k examples of greatest positive cosine, exact; ties go to the lower place."""
-    lo, hi = index.max_at[at], index.max_at[at + 1]
+    """(places, cosines) of the k examples of greatest positive cosine, exact; ties go to the lower place.
+
+    The blocks of greatest bound are opened first; of the others those that
+    their k-th cosine does not rule out.
+    """
+    lo, hi = index.entry_at[at], index.entry_at[at + 1]
     entry = _ranges(lo, hi)
-    bounds = np.bincount(index.max_block[entry], np.repeat(w, hi - lo) * index.max_weight[entry], index.blocks)
-    order = np.argsort(-bounds, kind="stable")
-    places, cosines, kth = np.empty(0, np.int64), np.empty(0), 0.0
-    for b in order.tolist():
-        if bounds[b] <= 0 or (len(places) >= k and bounds[b] < kth - 1e-12):
-            break
-        base = index.block_at[b]
-        own = index.block_terms[base : index.block_at[b + 1]]
-        met = np.minimum(np.searchsorted(own, at), len(own) - 1)
-        has = own[met] == at
-        e = base + met[has]
+    own, of_block = np.repeat(w, hi - lo), index.entry_block[entry]
+    bounds = np.bincount(of_block, own * index.entry_most[entry], index.blocks)
+
+    def opened(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(blocks[of_block])
+        e = entry[some]
         lo, hi = index.posting_at[e], index.posting_at[e + 1]
         posting = _ranges(lo, hi)
-        sims = np.bincount(index.places[posting] - b * BLOCK, np.repeat(w[has], hi - lo) * index.posting_weights[posting])
-        hit = np.flatnonzero(sims > 0)
-        places, cosines = np.concatenate([places, hit + b * BLOCK]), np.concatenate([cosines, sims[hit]])
-        if len(places) > k:
-            top = np.lexsort((places, -cosines.round(12)))[:k]
-            places, cosines = places[top], cosines[top]
-        if len(places) >= k:
-            kth = cosines.min()
-    top = np.lexsort((places, -cosines.round(12)))
-    return places[top], cosines[top]
+        sims = np.bincount(index.places[posting], np.repeat(own[some], hi - lo) * index.posting_weights[posting], 1)
+        hit = np.flatnonzero(sims)
+        return hit, sims[hit]
+
+    def best(places: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(places) > 8 * k:  # all that may still be among the k
+            cut = np.partition(cosines, len(cosines) - k)[len(cosines) - k] - 1e-11
+            few = np.flatnonzero(cosines >= cut)
+            places, cosines = places[few], cosines[few]
+        top = np.lexsort((places, -cosines.round(12)))[:k]
+        return places[top], cosines[top]
+
+    first = np.zeros(index.blocks, bool)
+    first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+    places, cosines = best(*opened(first))
+    kth = cosines[-1] - 1e-11 if len(cosines) == k else 0.0
+    rest = (bounds > 0) & (bounds >= kth) & ~first
+    if rest.any():
+        more, theirs = opened(rest)
+        places, cosines = best(np.concatenate([places, more]), np.concatenate([cosines, theirs]))
+    return places, cosines
 
 
 def raw_vote(index: Index, counts: Counter, but: int | None = None, k: int = NEIGHBOURS) -> tuple[float, np.ndarray]:
