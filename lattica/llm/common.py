@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import math
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,26 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.lineage import checkpoint, ensure_checkpoint_dir  # noqa: F401  (operators take them from here)
+
 #: Words as the contracts define them: runs of anything but space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take ``spark.checkpoint.dir`` from the session; where it is unset, a folder of our own in local mode, an error on a cluster."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -255,5 +255,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and pack: one row per piece."""
+    """Tokenize, cut and pack: one row per piece.
+
+    Null and empty texts give one piece, the separator; repeated rows and null
+    doc_ids are packed like others; texts of any length are cut, never dropped;
+    an empty table gives an empty one; further columns are left out.
+    """
     return pack_pieces(tokenize_pieces(docs, tokenizer_path, capacity), capacity)

@@ -12,18 +12,22 @@ from lattica.llm.common import table
 
 
 def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by law `rows`. Null texts have size 1; repeated rows get slots of their own; an empty table gives an empty one."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and their edited texts. Null texts are empty; ties of doc_id go by text; a single document is its own next."""
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and audited recall of all vectors. Null, zero and non-finite ones link with nothing; repeated rows and null ids are vectors of their own."""
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings. Null texts are empty; repeated rows are each other's repeats."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -40,6 +44,7 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, prediction and evidence for every document. Null, empty and termless texts get the rate of termless examples; repeated rows come as often."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
 
@@ -51,6 +56,7 @@ def op7_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and wordless texts have fingerprint zero; repeated rows come as often; null ids name no component that has another."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
@@ -61,10 +67,12 @@ def word_tokenizer_path() -> str:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with sequence and offset. Null and empty texts are one separator; repeated rows are packed one by one; ties may swap places."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer_path())
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url. Null urls and those without `://` have an empty host and path and are allowed; repeated rows come as often."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, urls.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
