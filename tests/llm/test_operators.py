@@ -183,6 +183,9 @@ def test_op8(docs, none):
     label = brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 2)
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((r[0], f"{prints[i]:016x}", ROWS[label[i]][0]) for i, r in enumerate(ROWS))
     assert simhash.simhash_components(none).count() == 0
+    words = [(t or "").lower().split() for _, t, *_ in ROWS]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = brute_components(sets, lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b))
     kept = [r.doc_id for r in simhash.deduplicate(docs).collect()]
     assert sorted(kept) == sorted({ROWS[x][0] for x in label})
 
