@@ -1,39 +1,42 @@
 """Best-fit packing of tokenized documents into fixed-length sequences.
 
-Pieces are range-sorted by length, longest first, and matched with open gaps in
-rounds: a round takes the pieces of one length and sweeps the gaps upwards from
-the closest fit. Pieces that want the same gap size are told apart by rank: the
-r-th piece takes the r-th gap. Since lengths are whole numbers up to the
-capacity, gaps and pieces of one size are interchangeable, and a round moves
-whole ranges of ranks: the sweep's state is a table of at most `capacity` size
-classes, whatever the corpus holds, and is kept on the driver. Ranking the
-pieces and handing them their places is done on the executors.
+Bulk-synchronous best fit: pieces and the gaps of open sequences are ranged by
+size, and every round one distributed sweep over both gives each piece its
+successor, the closest gap that holds it. Pieces that want the same gap are
+told apart by rank, gaps shrink, and the round repeats. Pieces go in by octaves
+of length, longest first, since a short piece fits later whatever was done
+before. Rounds are a few for each octave, whatever the corpus holds; the driver
+keeps how many pieces and gaps there are of each size and nothing else.
 """
 
 from __future__ import annotations
 
-import bisect
+import math
 import os
 import string
 import struct
 import threading
 import unicodedata
 import zlib
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checkpoint, number_rows, tidied, trim_memory
+from lattica.llm.common import checkpoint, running_sum, tidied, trim_memory
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Stretches and words whose ids a worker remembers, and the longest string kept.
 STRETCHES, WORDS, LONGEST = 500_000, 800_000, 48
 #: Seconds without a task after which a worker forgets them all.
 IDLE = 5.0
+#: Rows, about, that are ranked together.
+PER_BUCKET = 200_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -179,79 +182,142 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     return docs.select("doc_id", "text").mapInPandas(tidied(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """((length, first_rank, count, first_sequence, offset), ...) and the number of sequences.
+def _per_size(spark: SparkSession, heads: dict[tuple[int, int], int]) -> DataFrame:
+    """(size, kind, head), at most two rows for each size up to the capacity, for a broadcast."""
+    keys = sorted(heads)
+    columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([heads[k] for k in keys], pa.int64())]
+    return F.broadcast(spark.createDataFrame(pa.table(columns, ["size", "kind", "head"])))
 
-    Best fit, longest lengths first: each length's pieces fill the tightest gaps
-    that hold them, in order of rank; what finds no gap opens new sequences.
+
+def _ranked(rows: DataFrame, heads: dict[tuple[int, int], int], n_rows: int) -> DataFrame:
+    """Rows (size, kind, id, slot) with their ``rank`` from 0 within size and kind, and the ``head`` of these.
+
+    Ranks come from hash buckets, so a size that holds a third of all rows is spread.
+    """
+    buckets = math.ceil(n_rows / PER_BUCKET)
+    if buckets == 1:
+        ranked = rows.withColumn("rank", (F.row_number().over(Window.partitionBy("size", "kind").orderBy("id", "slot")) - 1).cast("long"))
+    else:
+        dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64("id", "slot"), F.lit(buckets))).withColumn("__one", F.lit(1).cast("long"))
+        ranked = running_sum(dealt, ["size", "kind"], "__bucket", [F.col("id"), F.col("slot")], "__one", "rank")
+    return ranked.join(_per_size(rows.sparkSession, heads), ["size", "kind"])
+
+
+def _sweep(pieces: DataFrame, slots: DataFrame, n_pieces: dict[int, int], n_slots: dict[int, int]) -> DataFrame:
+    """One round: rows (kind, id, size, sequence, used), a piece's sequence null if it found no gap.
+
+    From the largest size down, a gap (kind 0) opens and the next piece (kind 1)
+    closes the gap opened last, which is the closest fit still free: both stand
+    at one level of the balance of gaps less pieces, where gaps and pieces take
+    turns. A level has at most one gap and one piece of a size, so no level
+    holds more than 2 * capacity rows.
+    """
+    heads, balance = {}, 0
+    for size in sorted({*n_pieces, *n_slots}, reverse=True):
+        heads[size, 0], heads[size, 1] = balance, balance + n_slots.get(size, 0)
+        balance = heads[size, 1] - n_pieces.get(size, 0)
+    rows = slots.select("size", F.lit(0).alias("kind"), F.col("sequence").alias("id"), "slot").unionAll(pieces.select("size", F.lit(1).alias("kind"), "id", F.lit(0).alias("slot")))
+    at = F.when(F.col("kind") == 0, F.col("head") + F.col("rank") + 1).otherwise(F.col("head") - F.col("rank"))
+    level = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    swept = (
+        _ranked(rows, heads, sum(n_pieces.values()) + sum(n_slots.values()))
+        .withColumn("level", at)
+        .withColumn("found", F.lag(F.when(F.col("kind") == 0, F.col("id"))).over(level))
+        .withColumn("taker", F.lead(F.when(F.col("kind") == 1, F.col("size"))).over(level))
+    )
+    return checkpoint(swept.select("kind", "id", "size", F.when(F.col("kind") == 1, F.col("found")).alias("sequence"), F.when(F.col("kind") == 0, F.coalesce("taker", F.lit(0))).alias("used")))
+
+
+def _open(pieces: DataFrame, n_pieces: dict[int, int], capacity: int, first: int) -> tuple[DataFrame, int]:
+    """Pieces (id, size) with the new ``sequence`` each starts or joins, and the first number that is free.
+
+    Longest first, a sequence takes capacity // size pieces of one rank after another, which surely fit.
+    """
+    heads, free, each, ahead = {}, first, 0, 0
+    for size in sorted(n_pieces, reverse=True):
+        if capacity // size != each:
+            free += math.ceil(ahead / each) if each else 0
+            each, ahead = capacity // size, 0
+        heads[size, 1] = free * each + ahead
+        ahead += n_pieces[size]
+    rows = pieces.select("size", F.lit(1).alias("kind"), "id", F.lit(0).alias("slot"))
+    ranked = _ranked(rows, heads, sum(n_pieces.values()))
+    return checkpoint(ranked.select("id", "size", F.floor((F.col("head") + F.col("rank")) / F.floor(F.lit(capacity) / F.col("size"))).alias("sequence"))), free + math.ceil(ahead / each)
+
+
+def _sizes(pieces: DataFrame, gaps: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """How many pieces and gaps there are of each size, at most ``capacity`` sizes each."""
+    counts: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for r in pieces.select("size", F.lit(0).alias("of")).unionAll(gaps.select("size", F.lit(1).alias("of"))).groupBy("size", "of").count().collect():
+        counts[r["of"]][r["size"]] = r["count"]
+    return counts
+
+
+def match_pieces(pieces: DataFrame, histogram: dict[int, int], capacity: int = CAPACITY) -> DataFrame:
+    """(id, sequence) for rows (id, size), which are read once for each octave of sizes.
+
+    Octaves are taken from the longest down. In a round every piece of the
+    octave that is left and every gap take part in one sweep; then gaps shrink,
+    and the rounds go on until the pieces are placed or no gap holds one. Those
+    open new sequences. In its r-th round an octave may put 2**r pieces into
+    one gap, which is offered in slots as wide as the longest of them.
     """
-    gaps: dict[int, deque] = {}
-    sizes: list[int] = []  # gap sizes that are open, rising
-    plan, opened = [], 0
-
-    def put(size: int, first: int, count: int) -> None:
-        if size <= 0:
-            return
-        if size not in gaps:
-            gaps[size] = deque()
-            bisect.insort(sizes, size)
-        gaps[size].append((first, count))
-
-    for length in sorted(histogram, reverse=True):
-        if not 0 < length <= capacity:
-            raise ValueError("a piece must have 1 to `capacity` tokens")
-        left, rank = histogram[length], 0
-        while left and (k := bisect.bisect_left(sizes, length)) < len(sizes):
-            size = sizes[k]
-            moved: list[tuple[int, int]] = []
-            while left and gaps[size]:
-                first, count = gaps[size].popleft()
-                used = min(left, count)
-                if used < count:
-                    gaps[size].appendleft((first + used, count - used))
-                plan.append((length, rank, used, first, capacity - size))
-                moved.append((first, used))
-                rank, left = rank + used, left - used
-            if not gaps[size]:
-                del gaps[size]
-                sizes.pop(k)
-            for first, used in moved:
-                put(size - length, first, used)
-        if left:
-            each = capacity // length  # a new sequence takes this many before the next is opened
-            full, rest = divmod(left, each)
-            for count, pieces in ((full, each), (1, rest)):
-                if not count or not pieces:
-                    continue
-                for slot in range(pieces):
-                    plan.append((length, rank, count, opened, slot * length))
-                    rank += count
-                put(capacity - pieces * length, opened, count)
-                opened += count
-    return plan, opened
+    if any(not 0 < length <= capacity for length in histogram):
+        raise ValueError("a piece must have 1 to `capacity` tokens")
+    gaps, n_gaps, done, first, lengths = None, {}, [], 0, sorted(histogram, reverse=True)
+    while lengths:
+        longest = lengths[0]
+        octave = [n for n in lengths if n > (capacity // 2 if longest > capacity // 2 else longest // 2)]
+        lengths = lengths[len(octave) :]
+        left, n_left, at_once = pieces.filter(F.col("size").between(octave[-1], longest)), {n: histogram[n] for n in octave}, 1
+        while n_left and n_gaps and min(n_left) <= max(n_gaps):
+            least = min(n_left)
+            fits = gaps.filter(F.col("size") >= least)
+            each = F.greatest(F.lit(1), F.least(F.lit(at_once), F.floor(F.col("size") / F.lit(longest)))).cast("int")
+            parts = fits.withColumn("__n", each).select("sequence", "size", "__n", F.explode(F.sequence(F.lit(1), "__n")).alias("slot"))
+            slots = parts.select("sequence", "slot", F.when(F.col("slot") < F.col("__n"), F.lit(longest)).otherwise(F.col("size") - (F.col("__n") - 1) * F.lit(longest)).cast("long").alias("size"))
+            n_slots: Counter[int] = Counter()
+            for size, count in n_gaps.items():
+                if size >= least:
+                    n = max(1, min(at_once, size // longest))
+                    n_slots[size - (n - 1) * longest] += count
+                    if n > 1:
+                        n_slots[longest] += (n - 1) * count
+            swept = _sweep(left, slots, n_left, n_slots)
+            done.append(swept.filter("kind = 1 AND sequence IS NOT NULL").select("id", "sequence"))
+            left = swept.filter("kind = 1 AND sequence IS NULL").select("id", "size")
+            shrunk = swept.filter("kind = 0").select(F.col("id").alias("sequence"), (F.col("size") - F.col("used")).alias("size"))
+            shrunk = shrunk if at_once == 1 else shrunk.groupBy("sequence").agg(F.sum("size").alias("size"))
+            gaps = checkpoint(gaps.filter(F.col("size") < least).unionAll(shrunk.filter("size > 0")))
+            n_left, n_gaps = _sizes(left, gaps)
+            at_once *= 2
+        if n_left:
+            opened, first = _open(left, n_left, capacity, first)
+            done.append(opened.select("id", "sequence"))
+            fresh = opened.groupBy("sequence").agg((F.lit(capacity) - F.sum("size")).alias("size")).filter("size > 0")
+            gaps = checkpoint(fresh if gaps is None else gaps.unionAll(fresh))
+            n_gaps = _sizes(left.limit(0), gaps)[1] if lengths else {}
+    if not done:
+        return pieces.select("id", F.lit(0).cast("long").alias("sequence")).limit(0)
+    return reduce(DataFrame.unionAll, done)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to rows with doc_id, piece, length, ids_crc32.
+    """Add sequence_id and offset to rows with a column length.
 
-    Offsets of a sequence run from 0 without gaps and never exceed the
-    capacity. Rows equal in all four columns may swap; an empty table stays empty.
+    Offsets of a sequence run from 0 without gaps and never exceed the capacity.
+    Which of several pieces of one length goes where depends on the partitioning,
+    how many sequences there are does not. An empty table stays empty.
     """
-    rows = checkpoint(pieces)
+    rows = checkpoint(pieces.withColumn("__id", F.monotonically_increasing_id()))
     histogram = {int(r["length"]): int(r["count"]) for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
-    plan, _ = best_fit_plan(histogram, capacity)
-    ranked = number_rows(rows, ["doc_id", "piece", "ids_crc32"], "rank", groups=["length"])
-    table = np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
-
-    @F.pandas_udf("struct<sequence_id:long,offset:long>")
-    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        # length and rank in one key: ranks stay below 2**48
-        keys = (table[:, 0] << 48) | table[:, 1]
-        at = np.searchsorted(keys, (lengths.to_numpy() << 48) | ranks.to_numpy(), side="right") - 1
-        return pd.DataFrame({"sequence_id": table[at, 3] + ranks.to_numpy() - table[at, 1], "offset": table[at, 4]})
-
-    placed = ranked.withColumn("__place", place("length", "rank"))
-    return placed.select(*pieces.columns, F.col("__place.sequence_id").alias("sequence_id"), F.col("__place.offset").alias("offset"))
+    placed = match_pieces(rows.select(F.col("__id").alias("id"), F.col("length").alias("size")), histogram, capacity)
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "__id").rowsBetween(Window.unboundedPreceding, -1)  # at most `capacity` rows
+    return (
+        rows.join(placed.select(F.col("id").alias("__id"), F.col("sequence").alias("sequence_id")), "__id")
+        .withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+        .select(*pieces.columns, "sequence_id", "offset")
+    )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

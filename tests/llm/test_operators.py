@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import time
 import zlib
@@ -246,15 +247,38 @@ def test_idle_workers_forget_the_tokenizer(monkeypatch):
     assert packing.tokenizer_of(path).encode_batch([BASE]) == before
 
 
-def test_best_fit_places_every_piece_once():
-    histogram = {int(n): int(c) for n, c in zip(RNG.integers(1, 65, 40), RNG.integers(1, 30, 40), strict=True)}
-    plan, opened = packing.best_fit_plan(histogram, 64)
-    fill = collections.Counter()
-    for length, _, count, first, offset in plan:
-        for s in range(first, first + count):
-            assert fill[s] == offset
-            fill[s] += length
-    assert max(fill.values()) <= 64 and len(fill) == opened and sum(fill.values()) == sum(n * c for n, c in histogram.items())
+def _plain_best_fit(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("shape", "per_bucket"), [("mixed", 200_000), ("mixed", 40), ("short", 200_000), ("one length", 200_000)])
+def test_rounds_against_plain_best_fit(spark, monkeypatch, shape, per_bucket):
+    monkeypatch.setattr(packing, "PER_BUCKET", per_bucket)
+    rng = np.random.default_rng(5)
+    lengths = {"mixed": np.minimum(rng.lognormal(2.5, 1, 400).astype(int) + 1, 64), "short": rng.integers(1, 5, 300), "one length": np.full(150, 21)}[shape].tolist()
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").repartition(5)
+    got = packing.pack_pieces(pieces, 64).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        ends = np.cumsum([n for _, n in sorted(b)])
+        assert ends[-1] <= 64 and [o for o, _ in sorted(b)] == [0, *ends[:-1]]
+    assert len(bins) <= math.ceil(_plain_best_fit(lengths, 64) * 1.02)
+
+
+def test_a_sweep_takes_the_closest_gap_by_rank(spark):
+    slots = spark.createDataFrame([(s, 1, n) for s, n in enumerate([9, 7, 7, 4])], "sequence long, slot int, size long")
+    pieces = spark.createDataFrame(list(enumerate([8, 6, 6, 6, 3])), "id long, size long")
+    rows = packing._sweep(pieces, slots, {8: 1, 6: 3, 3: 1}, {9: 1, 7: 2, 4: 1}).filter("kind = 1").collect()
+    assert sorted((r.size, -1 if r.sequence is None else r.sequence) for r in rows) == [(3, 3), (6, -1), (6, 1), (6, 2), (8, 0)]
 
 
 def test_op10(spark):
