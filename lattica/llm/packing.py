@@ -182,6 +182,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     return docs.select("doc_id", "text").mapInPandas(tidied(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def _compact(df: DataFrame, n_rows: int) -> DataFrame:
+    """Few partitions for few rows, since a round's tasks are as many as the partitions it reads."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / PER_BUCKET)))
+
+
 def _per_size(spark: SparkSession, heads: dict[tuple[int, int], int]) -> DataFrame:
     """(size, kind, head), at most two rows for each size up to the capacity, for a broadcast."""
     keys = sorted(heads)
@@ -219,13 +224,15 @@ def _sweep(pieces: DataFrame, slots: DataFrame, n_pieces: dict[int, int], n_slot
     rows = slots.select("size", F.lit(0).alias("kind"), F.col("sequence").alias("id"), "slot").unionAll(pieces.select("size", F.lit(1).alias("kind"), "id", F.lit(0).alias("slot")))
     at = F.when(F.col("kind") == 0, F.col("head") + F.col("rank") + 1).otherwise(F.col("head") - F.col("rank"))
     level = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    n_rows = sum(n_pieces.values()) + sum(n_slots.values())
     swept = (
-        _ranked(rows, heads, sum(n_pieces.values()) + sum(n_slots.values()))
+        _ranked(rows, heads, n_rows)
         .withColumn("level", at)
         .withColumn("found", F.lag(F.when(F.col("kind") == 0, F.col("id"))).over(level))
         .withColumn("taker", F.lead(F.when(F.col("kind") == 1, F.col("size"))).over(level))
     )
-    return checkpoint(swept.select("kind", "id", "size", F.when(F.col("kind") == 1, F.col("found")).alias("sequence"), F.when(F.col("kind") == 0, F.coalesce("taker", F.lit(0))).alias("used")))
+    swept = swept.select("kind", "id", "size", F.when(F.col("kind") == 1, F.col("found")).alias("sequence"), F.when(F.col("kind") == 0, F.coalesce("taker", F.lit(0))).alias("used"))
+    return checkpoint(_compact(swept, n_rows))
 
 
 def _open(pieces: DataFrame, n_pieces: dict[int, int], capacity: int, first: int) -> tuple[DataFrame, int]:
@@ -264,6 +271,7 @@ def match_pieces(pieces: DataFrame, histogram: dict[int, int], capacity: int = C
     """
     if any(not 0 < length <= capacity for length in histogram):
         raise ValueError("a piece must have 1 to `capacity` tokens")
+    pieces = _compact(pieces, sum(histogram.values()))
     gaps, n_gaps, done, first, lengths = None, {}, [], 0, sorted(histogram, reverse=True)
     while lengths:
         longest = lengths[0]
@@ -288,14 +296,14 @@ def match_pieces(pieces: DataFrame, histogram: dict[int, int], capacity: int = C
             left = swept.filter("kind = 1 AND sequence IS NULL").select("id", "size")
             shrunk = swept.filter("kind = 0").select(F.col("id").alias("sequence"), (F.col("size") - F.col("used")).alias("size"))
             shrunk = shrunk if at_once == 1 else shrunk.groupBy("sequence").agg(F.sum("size").alias("size"))
-            gaps = checkpoint(gaps.filter(F.col("size") < least).unionAll(shrunk.filter("size > 0")))
+            gaps = checkpoint(_compact(gaps.filter(F.col("size") < least).unionAll(shrunk.filter("size > 0")), sum(n_gaps.values())))
             n_left, n_gaps = _sizes(left, gaps)
             at_once *= 2
         if n_left:
             opened, first = _open(left, n_left, capacity, first)
             done.append(opened.select("id", "sequence"))
             fresh = opened.groupBy("sequence").agg((F.lit(capacity) - F.sum("size")).alias("size")).filter("size > 0")
-            gaps = checkpoint(fresh if gaps is None else gaps.unionAll(fresh))
+            gaps = checkpoint(_compact(fresh if gaps is None else gaps.unionAll(fresh), sum(n_gaps.values()) + sum(n_left.values())))
             n_gaps = _sizes(left.limit(0), gaps)[1] if lengths else {}
     if not done:
         return pieces.select("id", F.lit(0).cast("long").alias("sequence")).limit(0)
